@@ -1,0 +1 @@
+"""Left empty on purpose: the workload is batch only, there is no stream to process."""
