@@ -117,26 +117,38 @@ DAY_PARTS = (
 )
 
 
+def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def replace_spans(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``fn(match)``, keeping the rest as it is."""
-    pieces = F.split(text, pattern, -1)
-    spans = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), fn)
-    woven = F.zip_with(pieces, spans, lambda piece, span: F.concat(piece, F.coalesce(span, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
+
+    def rewrite(t: Column) -> Column:
+        spans = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), fn)
+        woven = F.zip_with(
+            F.split(t, pattern, -1), spans, lambda piece, span: F.concat(piece, F.coalesce(span, F.lit("")))
+        )
+        return F.when(t.rlike(pattern), F.array_join(woven, "")).otherwise(t)
+
+    return _bind(text, rewrite)
 
 
 def apply_rules(span: Column, rules: Sequence[Rule]) -> Column:
-    """Token of the first rule the span passes, else the span itself."""
-    low = F.lower(span)
-    out = None
-    for rule in rules:
-        test = rule.test(low)
-        out = F.when(test, rule.token) if out is None else out.when(test, rule.token)
-    return out.otherwise(span)
+    """Token of the first rule the span passes; null when it passes none."""
+
+    def decide(low: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for rule in rules:
+            out = out.when(rule.test(low), rule.token)
+        return out
+
+    return _bind(F.lower(span), decide)
 
 
 def redact(text: Column, rules: Sequence[Rule]) -> Column:
-    return replace_spans(text, SPAN, lambda span: apply_rules(span, rules))
+    return replace_spans(text, SPAN, lambda span: F.coalesce(apply_rules(span, rules), span))
 
 
 def redact_names(text: Column) -> Column:

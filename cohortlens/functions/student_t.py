@@ -22,7 +22,8 @@ def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     d = 1 - (p + q) * y / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    for m in range(1, 1000):
+        before = h
         for numerator in (
             m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)),
             -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)),
@@ -32,6 +33,8 @@ def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + numerator / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
+        if np.all(np.abs(h - before) <= 1e-15 * np.abs(h)):
+            break
     log_beta = np.array([lgamma(i) + lgamma(j) - lgamma(i + j) for i, j in zip(p, q)])
     with np.errstate(divide="ignore"):
         front = np.exp(p * np.log(y) + q * np.log1p(-y) - log_beta) / p
@@ -61,7 +64,7 @@ def quantile(prob: np.ndarray, df: np.ndarray) -> np.ndarray:
     low, high = np.zeros_like(d), np.ones_like(d)
     while (short := two_sided_p(high, d) > tail).any():
         high = np.where(short, high * 2, high)
-    for _ in range(200):
+    for _ in range(80):
         mid = (low + high) / 2
         above = two_sided_p(mid, d) > tail
         low, high = np.where(above, mid, low), np.where(above, high, mid)

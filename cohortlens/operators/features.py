@@ -56,19 +56,26 @@ def top_terms(frequencies: DataFrame, k: int) -> DataFrame:
     return first_k(ordered, levels, ["rare", "term"], k).drop("rare")
 
 
-def with_index(vocab: DataFrame) -> DataFrame:
-    """Alphabetical column index, from zero."""
+def with_index(vocab: DataFrame, bounded: bool = False) -> DataFrame:
+    """Alphabetical column index, from zero. A vocabulary with a feature cap fits one task."""
+    if bounded:
+        return vocab.withColumn("idx", F.row_number().over(Window.orderBy("term")).cast("long") - 1)
     one = vocab.withColumn("one", F.lit(1).cast("long"))
     ranked = running_sums(one, [], text_levels(F.col("term")), ["term"], ["one"])
     return ranked.select(*vocab.columns, (F.col("cum_one") - 1).alias("idx"))
 
 
+def is_bounded(weighting: Weighting) -> bool:
+    """Whether the vocabulary is small by definition."""
+    return weighting.max_features is not None and weighting.max_features <= MAX_FEATURES
+
+
 def vocabulary(docs: DataFrame, weighting: Weighting) -> DataFrame:
     """(term, df, idx) of the terms a weighting keeps."""
     frequencies = document_frequency(docs, weighting.min_df)
     if weighting.max_features is not None:
         frequencies = top_terms(frequencies, weighting.max_features)
-    return with_index(frequencies)
+    return with_index(frequencies, is_bounded(weighting))
 
 
 def idf_smooth(n: Column, df: Column) -> Column:
@@ -118,8 +125,8 @@ def tfidf(
     """Weights of ``docs`` with vocabulary and idf of ``train`` (default: the same table)."""
     fitted = with_terms(docs if train is None else train, weighting, column)
     vocab = vocabulary(fitted, weighting)
-    bounded = weighting.max_features is not None and weighting.max_features <= MAX_FEATURES
-    return weigh(with_terms(docs, weighting, column), vocab, _count(fitted), weighting.binary, bounded)
+    scored = with_terms(docs, weighting, column)
+    return weigh(scored, vocab, _count(fitted), weighting.binary, is_bounded(weighting))
 
 
 def tfidf_fixed_vocab(

@@ -31,7 +31,7 @@ def lookup(table: DataFrame, tokens: Sequence[str]) -> DataFrame:
 
 def random_vector(token: Column, dimension: Column) -> Column:
     """Uniform values within sqrt(6 / (1 + dimension)), fixed by the token."""
-    bound = F.sqrt(6.0 / (dimension + 1))
+    bound = F.sqrt(F.lit(6.0) / (dimension + 1))
     return F.transform(
         F.sequence(F.lit(1), dimension.cast("int")), lambda i: (hash_uniform(token, i) * 2 - 1) * bound
     )
@@ -40,11 +40,12 @@ def random_vector(token: Column, dimension: Column) -> Column:
 def custom_matrix(tokens: DataFrame, table: DataFrame) -> DataFrame:
     """A vector for every token of a (pos, token) list: its own, else a random one."""
     dimension = table.agg(F.max(F.size("vec"))).scalar()
-    return tokens.join(table.select("token", "vec"), "token", "left").select(
+    found = tokens.join(table.select("token", "vec"), "token", "left").withColumn("dim", dimension)
+    return found.select(
         "pos",
         "token",
         F.col("vec").isNotNull().alias("is_pretrained"),
-        F.coalesce("vec", random_vector(F.col("token"), dimension)).alias("vec"),
+        F.coalesce("vec", random_vector(F.col("token"), F.col("dim"))).alias("vec"),
     )
 
 
