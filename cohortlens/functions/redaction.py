@@ -125,12 +125,16 @@ def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
 def replace_spans(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``fn(match)``, keeping the rest as it is."""
 
-    def rewrite(t: Column) -> Column:
-        spans = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), fn)
+    def weave(t: Column, spans: Column) -> Column:
+        pieces = F.split(t, pattern, -1)
         woven = F.zip_with(
-            F.split(t, pattern, -1), spans, lambda piece, span: F.concat(piece, F.coalesce(span, F.lit("")))
+            pieces, F.transform(spans, fn), lambda piece, span: F.concat(piece, F.coalesce(span, F.lit("")))
         )
-        return F.when(t.rlike(pattern), F.array_join(woven, "")).otherwise(t)
+        return F.when(F.size(spans) > 0, F.array_join(woven, "")).otherwise(t)
+
+    def rewrite(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return _bind(found, lambda spans: weave(t, spans))
 
     return _bind(text, rewrite)
 

@@ -65,7 +65,7 @@ def mean_quartiles(df: DataFrame, value: str, upper: float | None = None) -> Dat
     clipped = df.select(
         (clip_upper(F.col(value), upper) if upper is not None else F.col(value)).alias(value)
     )
-    quantiles = exact_quantiles(clipped, value, (0.25, 0.5, 0.75)).agg(
+    quantiles = exact_quantiles(clipped, [value], (0.25, 0.5, 0.75)).agg(
         F.max(F.when(F.col("share") == 0.25, F.col("quantile"))).alias("q25"),
         F.max(F.when(F.col("share") == 0.5, F.col("quantile"))).alias("median"),
         F.max(F.when(F.col("share") == 0.75, F.col("quantile"))).alias("q75"),
@@ -79,16 +79,22 @@ def mean_quartiles(df: DataFrame, value: str, upper: float | None = None) -> Dat
     )
 
 
-def describe(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum, as (stat, value)."""
-    moments = df.agg(
-        F.count(value).cast("double").alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).cast("double").alias("min"),
-        F.max(value).cast("double").alias("max"),
-    ).unpivot([], ["count", "mean", "std", "min", "max"], "stat", "value")
-    quartiles = exact_quantiles(df, value, (0.25, 0.5, 0.75)).select(
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum: (name, stat, value)."""
+    stats = {
+        "count": lambda c: F.count(c).cast("double"),
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": lambda c: F.min(c).cast("double"),
+        "max": lambda c: F.max(c).cast("double"),
+    }
+    row = df.agg(*[fn(c).alias(f"{c}:{stat}") for c in columns for stat, fn in stats.items()])
+    parts = F.split("key", ":")
+    moments = row.unpivot([], list(row.columns), "key", "value").select(
+        parts[0].alias("name"), parts[1].alias("stat"), "value"
+    )
+    quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75)).select(
+        "name",
         F.concat(F.round(F.col("share") * 100).cast("int"), F.lit("%")).alias("stat"),
         F.col("quantile").alias("value"),
     )

@@ -99,13 +99,27 @@ def ensemble_thresholds(ensemble_preds: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(table: DataFrame, keys: Sequence[str], fields: Sequence[str], order: Sequence[str] | None) -> DataFrame:
+    """Every unordered pair of models per key, in the given order, as structs a and b.
+
+    A key has one row per model of the study, so its models fit one array.
+    """
+    place = F.array_position(F.array(*[F.lit(m) for m in order or model_order()]), F.col("model"))
+    listed = table.groupBy(*keys).agg(
+        F.collect_list(F.struct(place.alias("place"), *fields)).alias("models")
+    )
+    return (
+        listed.select(*keys, "models", F.explode("models").alias("a"))
+        .select(*keys, "a", F.explode("models").alias("b"))
+        .filter(F.col("a.place") < F.col("b.place"))
+    )
+
+
 def model_pairs(models: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """All unordered pairs of the models of a task, in the given order."""
-    place = F.array_position(F.array(*[F.lit(m) for m in order or model_order()]), F.col("model"))
-    one = models.select("task", F.col("model").alias("model1"), place.alias("ord1"))
-    two = models.select("task", F.col("model").alias("model2"), place.alias("ord2"))
-    # The tables hold one row per model of the study.
-    return one.join(two, "task").filter(F.col("ord1") < F.col("ord2")).select("task", "model1", "model2")
+    return _pairs(models, ["task"], ["model"], order).select(
+        "task", F.col("a.model").alias("model1"), F.col("b.model").alias("model2")
+    )
 
 
 def ttest_pairs(metrics: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
@@ -113,22 +127,18 @@ def ttest_pairs(metrics: DataFrame, order: Sequence[str] | None = None) -> DataF
     stats = metrics.groupBy("task", "model", "metric").agg(
         F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v")
     )
-    place = F.array_position(F.array(*[F.lit(m) for m in order or model_order()]), F.col("model"))
-    stats = stats.withColumn("place", place)
-    side = lambda i: stats.select(
-        "task", "metric", *[F.col(c).alias(f"{c}{i}") for c in ("model", "n", "m", "v", "place")]
-    )
-    pairs = side(1).join(side(2), ["task", "metric"]).filter(F.col("place1") < F.col("place2"))
-    df = F.col("n1") + F.col("n2") - 2
-    pooled = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), df)
-    scale = F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))
+    pairs = _pairs(stats, ["task", "metric"], ["model", "n", "m", "v"], order)
+    freedom = lambda side: F.col(f"{side}.n") - 1
+    df = freedom("a") + freedom("b")
+    pooled = F.try_divide(freedom("a") * F.col("a.v") + freedom("b") * F.col("b.v"), df)
+    scale = F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("a.n")) + F.try_divide(F.lit(1.0), F.col("b.n"))))
     tested = pairs.withColumn("df", df.cast("double")).withColumn(
-        "t_raw", F.try_divide(F.col("m1") - F.col("m2"), scale)
+        "t_raw", F.try_divide(F.col("a.m") - F.col("b.m"), scale)
     )
     p = F.nanvl(t_two_sided_p(F.col("t_raw"), F.col("df")), F.lit(None).cast("double"))
     return tested.withColumn("p_raw", p).select(
         "task",
-        F.concat_ws(":", "model1", "model2").alias("pair"),
+        F.concat_ws(":", "a.model", "b.model").alias("pair"),
         "metric",
         F.bround("t_raw", 2).alias("t"),
         F.when(F.col("p_raw").isNotNull(), F.greatest(F.bround("p_raw", 2), F.lit(0.001))).alias("p"),

@@ -215,17 +215,11 @@ def avg_metrics_ci(
 
 def best_run_per_metric(metrics: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
     """Run with the largest positive value per metric, the first of equals; (0, null) if none."""
-    usable = metrics.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") > 0))
-    best = usable.groupBy(*keys, "metric").agg(
-        F.max(F.struct(F.col("value"), (-F.col("run")).alias("early"))).alias("b")
-    )
-    every = (
-        metrics.select(*keys)
-        .distinct()
-        .withColumn("metric", F.explode(F.array(*[F.lit(m) for m in METRICS])))
-    )
+    usable = F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") > 0)
+    entry = F.struct(F.col("value"), (-F.col("run")).alias("early"))
+    best = metrics.groupBy(*keys, "metric").agg(F.max(F.when(usable, entry)).alias("b"))
     run = -F.col("b.early")
-    return every.join(best, [*keys, "metric"], "left").select(
+    return best.select(
         *keys,
         "metric",
         F.coalesce("b.value", F.lit(0.0)).alias("value"),

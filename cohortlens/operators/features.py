@@ -48,11 +48,8 @@ def document_frequency(docs: DataFrame, min_df: int = 1) -> DataFrame:
 def top_terms(frequencies: DataFrame, k: int) -> DataFrame:
     """The k terms in most documents, ties by term."""
     ordered = frequencies.withColumn("rare", -F.col("df"))
-    levels = {
-        "lv1": -F.floor(F.log2("df")),
-        "lv2": F.col("rare"),
-        "lv3": F.substring("term", 1, 4),
-    }
+    # Few distinct counts exist; inside one count, terms are cut by their beginning.
+    levels = {"lv1": F.col("rare"), "lv2": F.substring("term", 1, 4)}
     return first_k(ordered, levels, ["rare", "term"], k).drop("rare")
 
 

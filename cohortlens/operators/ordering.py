@@ -10,7 +10,6 @@ inside one finest bucket are ever sorted together.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,42 +167,44 @@ def first_k(
     return df.filter(F.struct(*order) <= last)
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles of one numeric column: (share, quantile)."""
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Linearly interpolated quantiles of numeric columns: (name, share, quantile).
+
+    All columns share one plan: values are counted per column, then only the value
+    buckets around the wanted ranks are sorted.
+    """
+    entries = F.array(
+        *[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]
+    )
     counts = (
-        df.select(F.col(value).cast("double").alias("v"))
+        df.select(F.explode(entries).alias("e"))
+        .select("e.*")
         .filter(F.col("v").isNotNull())
-        .groupBy("v")
+        .groupBy("name", "v")
         .agg(F.count("*").alias("w"))
     )
-    bounds = df.agg(F.struct(F.min(F.col(value).cast("double")).alias("lo"),
-                             F.max(F.col(value).cast("double")).alias("hi")))
-    span = bounds.scalar()
-    levels = span_levels(F.col("v"), span["lo"], span["hi"])
+    spans = counts.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # One row per column name.
+    placed = counts.join(F.broadcast(spans), "name")
+    levels = span_levels(F.col("v"), F.col("lo"), F.col("hi"))
     ranks: dict[str, Callable[[Column], Column]] = {}
     for i, share in enumerate(shares):
         at = lambda n, q=share: (n - 1) * F.lit(float(q))
         ranks[f"{i}:lo"] = lambda n, at=at: F.floor(at(n)) + 1
         ranks[f"{i}:hi"] = lambda n, at=at: F.least(F.floor(at(n)) + 2, n)
-    picked = nth_rows(counts, [], levels, ["v"], ranks, weight="w")
+    picked = nth_rows(placed, ["name"], levels, ["v"], ranks, weight="w")
     parts = F.split("rank_name", ":")
-    share_of = reduce(
-        lambda acc, p: acc.when(F.col("i") == p[0], F.lit(float(p[1]))),
-        enumerate(shares),
-        F.when(F.lit(False), F.lit(None).cast("double")),
-    )
     place = (F.col("n") - 1) * F.col("share")
     return (
-        picked.withColumn("i", parts[0].cast("int"))
-        .withColumn("side", parts[1])
-        .groupBy("i")
+        picked.withColumn("share", F.array(*[F.lit(float(q)) for q in shares])[parts[0].cast("int")])
+        .groupBy("name", "share")
         .agg(
-            F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-            F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"),
+            F.max(F.when(parts[1] == "lo", F.col("v"))).alias("lo"),
+            F.max(F.when(parts[1] == "hi", F.col("v"))).alias("hi"),
             F.max("n").alias("n"),
         )
-        .withColumn("share", share_of)
         .select(
+            "name",
             "share",
             (F.col("lo") + (F.col("hi") - F.col("lo")) * (place - F.floor(place))).alias("quantile"),
         )

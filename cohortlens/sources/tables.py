@@ -61,6 +61,16 @@ RUN_METRICS_SCHEMA = T.StructType(
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer tasks than there are cores.
+
+    A small Parquet file has one row group and is read by one task. Large tables
+    have more tasks than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType = NOTES_SCHEMA) -> DataFrame:
     """Typed CSV scan; quoted fields may span lines. Ingest once, then use Parquet:
     a file whose records span lines cannot be split."""

@@ -247,12 +247,9 @@ _STATS = """SELECT '{0}' AS name, unnest(['count', 'mean', 'std', 'min', '25%',
     f"WITH {N} " + " UNION ALL ".join(_STATS.format(c) for c in ("adm_to_icu_period", "icu_los", "charttime_to_icu_period")),
 )
 def agg_describe(spark, d):
-    df = notes(spark, d)
-    parts = [
-        describe.describe(df, c).select(F.lit(c).alias("name"), "stat", "value")
-        for c in ("adm_to_icu_period", "icu_los", "charttime_to_icu_period")
-    ]
-    return rounded(reshape.union_splits(*parts), "value")
+    return rounded(
+        describe.describe(notes(spark, d), ["adm_to_icu_period", "icu_los", "charttime_to_icu_period"]), "value"
+    )
 
 
 @query(

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from cohortlens.config import MODELS, THRESHOLDS
 from cohortlens.functions.scalar import relative_seconds
 from cohortlens.operators.evaluate import with_threshold
+from cohortlens.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- N: notes with times and labels, from events ---------------------------------------
