@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cohortlens.config import METRIC_DEFINITIONS, METRICS
 from cohortlens.functions.scalar import round_metric, threshold_predict
 from cohortlens.functions.student_t import t_quantile
-from cohortlens.operators.ordering import running_sums, unit_levels
+from cohortlens.operators.ordering import falling_levels, running_sums, score_levels
 
 RUN = ("task", "model", "run")
 MODEL = ("task", "model")
@@ -112,7 +112,7 @@ def run_summary(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     between buckets, one level at a time.
     """
     keys = list(keys)
-    levels = unit_levels(F.col("prob"))
+    levels = score_levels(F.col("prob"))
     names = list(levels)
     cells = _cells(F.col("target"), F.col("pred"))
     counts = (
@@ -248,7 +248,8 @@ def score_counts(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 def average_ranks(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Ascending rank of each distinct score, ties sharing their mean rank."""
     counts = score_counts(preds, keys).withColumn("n", F.col("pos") + F.col("neg"))
-    ranked = running_sums(counts, keys, unit_levels(F.col("prob")), ["prob"], ["n"])
+    source = preds.withColumn("n", F.lit(1).cast("long"))
+    ranked = running_sums(counts, keys, score_levels(F.col("prob")), ["prob"], ["n"], source)
     return ranked.select(
         *keys, "prob", "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank")
     )
@@ -263,7 +264,14 @@ def rank_rows(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 def curve_counts(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Per distinct score: positives and negatives at it, at or above it, and in the run."""
     counts = score_counts(preds, keys).withColumn("down", -F.col("prob"))
-    return running_sums(counts, keys, unit_levels(F.col("down")), ["down"], ["pos", "neg"]).drop("down")
+    source = preds.select(
+        *keys,
+        "prob",
+        (F.col("target") == 1).cast("long").alias("pos"),
+        (F.col("target") == 0).cast("long").alias("neg"),
+    )
+    levels = falling_levels(F.col("prob"))
+    return running_sums(counts, keys, levels, ["down"], ["pos", "neg"], source).drop("down")
 
 
 def roc_points(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
@@ -301,21 +309,29 @@ def interpolate_roc(preds: DataFrame, keys: Sequence[str] = RUN, n_points: int |
     point = F.struct(fpr.alias("x"), (F.col("cum_pos") / F.col("all_pos")).alias("y"))
     # Ceiling in whole numbers: the first grid point at or right of the point.
     cell = F.expr("(cum_neg * greatest(n - 1, 1) + all_neg - 1) div all_neg")
-    cells = points.groupBy(*keys, "n", cell.alias("j")).agg(F.max(point).alias("hi"), F.min(point).alias("lo"))
-    spine = (
-        cells.select(*keys, "n")
-        .distinct()
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cells = points.groupBy(*keys, "n", cell.alias("cell")).agg(F.max(point).alias("hi"), F.min(point).alias("lo"))
+    # Grid points up to the next filled cell lie between this cell's last point and
+    # the next cell's first one; those before the first cell start from (0, 0).
+    order = Window.partitionBy(*keys).orderBy("cell")
+    stretches = cells.select(
+        *keys,
+        "n",
+        "cell",
+        "hi",
+        "lo",
+        F.coalesce(F.lead("cell").over(order), F.col("n")).alias("until"),
+        F.lead("lo").over(order).alias("next"),
+        F.lag("cell").over(order).isNull().alias("first"),
     )
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    order = Window.partitionBy(*keys).orderBy("j")
-    below = F.coalesce(
-        F.last("hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), start
-    )
-    above = F.first("lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    at = spine.join(cells, [*keys, "n", "j"], "left").select(
-        *keys, "n", "j", below.alias("b"), above.alias("a")
-    )
+
+    def stretch(low: Column, high: Column, before: Column, after: Column) -> Column:
+        places = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(places, lambda j: F.struct(j.alias("j"), before.alias("b"), after.alias("a")))
+
+    leading = stretch(F.lit(0).cast("long"), F.when(F.col("first"), F.col("cell")).otherwise(0), start, F.col("lo"))
+    own = stretch(F.col("cell"), F.col("until"), F.col("hi"), F.col("next"))
+    at = stretches.select(*keys, "n", F.explode(F.concat(leading, own)).alias("p")).select(*keys, "n", "p.*")
     x = F.col("j") / F.greatest(F.col("n") - 1, F.lit(1))
     slope = F.try_divide(F.col("a.y") - F.col("b.y"), F.col("a.x") - F.col("b.x"))
     y = F.col("b.y") + F.coalesce(slope * (x - F.col("b.x")), F.lit(0.0))

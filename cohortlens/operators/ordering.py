@@ -14,18 +14,36 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN_OUT = 1024
+# Buckets per doubling of the odds, coarse to fine.
+ODDS_STEPS = (64, 32_768)
+OUTSIDE = 1_000_000_000
 
 
-def unit_levels(x: Column, depth: int = 2) -> dict[str, Column]:
-    """Levels for a score in or around [0, 1]."""
-    return {f"lv{i}": F.floor(x * float(FAN_OUT**i)).cast("long") for i in range(1, depth + 1)}
+def score_levels(x: Column, depth: int = 1) -> dict[str, Column]:
+    """Levels for a score in [0, 1], and any number outside it.
+
+    Buckets are even in log odds: fine near 0 and 1, where scores of rare or
+    frequent classes crowd. Depth two cuts each bucket once more, for scores that
+    crowd elsewhere.
+    """
+    odds = F.log2(x / (1 - x))
+    return {
+        f"lv{i}": F.when(x <= 0, F.floor(x * 1024.0) - OUTSIDE)
+        .when(x >= 1, F.floor(x * 1024.0) + OUTSIDE)
+        .otherwise(F.floor(odds * float(steps)))
+        .cast("long")
+        for i, steps in enumerate(ODDS_STEPS[:depth], start=1)
+    }
 
 
-def span_levels(x: Column, low: Column, high: Column, depth: int = 2) -> dict[str, Column]:
+def falling_levels(x: Column, depth: int = 1) -> dict[str, Column]:
+    """Levels for scores from high to low."""
+    return {name: -level for name, level in score_levels(x, depth).items()}
+
+
+def span_levels(x: Column, low: Column, high: Column, depth: int = 1) -> dict[str, Column]:
     """Levels for a number known to lie between two bounds."""
-    unit = F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0))
-    return unit_levels(unit, depth)
+    return score_levels(F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)), depth)
 
 
 def hex_levels(digest: Column, digits: Sequence[int] = (2, 5)) -> dict[str, Column]:
@@ -41,6 +59,14 @@ def text_levels(term: Column, chars: Sequence[int] = (2, 6)) -> dict[str, Column
     return {f"lv{i}": F.substring(term, 1, n) for i, n in enumerate(chars, start=1)}
 
 
+def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with all of these columns. Said up front, the same filter holds on both
+    sides of the later join, so both read one shuffle."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     return left.join(right, list(cols), how)
 
@@ -97,14 +123,18 @@ def running_sums(
     levels: dict[str, Column],
     order: Sequence[str],
     sums: Sequence[str],
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``cum_*`` (up to and including the row) and ``all_*`` (whole key) per key.
 
-    ``order`` must be unique inside a key: aggregate equal rows first.
+    ``order`` must be unique inside a key: aggregate equal rows first. Bucket totals
+    may come from a ``source`` with the same sums before that aggregation: they then
+    shuffle next to nothing.
     """
     names = list(levels)
-    rows = df.withColumns(levels)
-    offsets = bucket_offsets(rows, keys, names, sums).drop(*sums)
+    rows = _keyed(df.withColumns(levels), [*keys, *names])
+    totals = rows if source is None else _keyed(source.withColumns(levels), [*keys, *names])
+    offsets = bucket_offsets(totals, keys, names, sums).drop(*sums)
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     cum = rows.withColumns({f"_in_{s}": F.sum(s).over(inside) for s in sums})
     joined = _join_on(cum, offsets, [*keys, *names])
@@ -131,6 +161,7 @@ def nth_rows(
     """
     names = list(levels)
     rows = df.withColumns(levels).withColumn("_w", F.col(weight) if weight else F.lit(1).cast("long"))
+    rows = _keyed(rows, [*keys, *names])
     offsets = bucket_offsets(rows, keys, names, ["_w"])
     wanted = F.array(
         *[
