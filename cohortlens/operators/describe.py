@@ -109,17 +109,24 @@ def prevalence(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.avg((F.col(label) == 1).cast("double")).alias("prevalence"))
 
 
+def _bounds(value: Column) -> Column:
+    """Lowest and highest value; half a unit to each side when they are the same."""
+    low, high = F.min(value), F.max(value)
+    return F.struct(
+        F.when(low == high, low - 0.5).otherwise(low).alias("lo"),
+        F.when(low == high, high + 0.5).otherwise(high).alias("hi"),
+    )
+
+
 def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Equal-width bin; the maximum belongs to the last bin, a constant column to the middle one."""
-    spread = F.floor((value - low) * bins / F.nullif(high - low, F.lit(0.0)))
-    return F.coalesce(F.least(spread, F.lit(bins - 1)), F.lit(bins // 2)).cast("int")
+    """Equal-width bin; the maximum belongs to the last one."""
+    return F.least(F.floor((value - low) * bins / (high - low)), F.lit(bins - 1)).cast("int")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Rows per equal-width bin between minimum and maximum; empty bins count zero."""
-    x = F.col(value).cast("double")
-    rows = df.select(x.alias("v")).filter(F.col("v").isNotNull())
-    bounds = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    bounds = rows.agg(_bounds(F.col("v"))).scalar()
     counts = rows.groupBy(_bin_of(F.col("v"), bounds["lo"], bounds["hi"], bins).alias("bin")).agg(
         F.count("*").alias("n")
     )
@@ -137,9 +144,9 @@ def grouped_histogram(df: DataFrame, key: str, value: str, bins: int) -> DataFra
     rows = df.select(key, F.col(value).cast("double").alias("v")).filter(
         F.col("v").isNotNull() & F.col(key).isNotNull()
     )
-    bounds = rows.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bounds = rows.groupBy(key).agg(_bounds(F.col("v")).alias("b"))
     return (
         rows.join(bounds, key)
-        .groupBy(key, _bin_of(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+        .groupBy(key, _bin_of(F.col("v"), F.col("b.lo"), F.col("b.hi"), bins).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
