@@ -86,6 +86,7 @@ class LogisticParams:
     inverse_regularization: float = 1.0
     balanced: bool = True
     max_iter: int = 100
+    tolerance: float = 1e-4
 
 
 @dataclass(frozen=True)

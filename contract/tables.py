@@ -54,7 +54,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(RAW_ETHNICITY, k % 6).alias("ethnicity"),
         _pick(("M", "F"), k % 2).alias("gender"),
         _pick(ADMISSION_TYPES, k % 3).alias("admission_type"),
-        (k / 100.0).alias("prob"),
+        (k / 101.0).alias("prob"),
     )
 
 
@@ -79,7 +79,7 @@ n AS (SELECT n0.*, intime, admittime,
         {_sql_list(RAW_ETHNICITY)}[1 + k % 6] AS ethnicity,
         ['M', 'F'][1 + k % 2] AS gender,
         {_sql_list(ADMISSION_TYPES)}[1 + k % 3] AS admission_type,
-        k::DOUBLE / 100 AS prob
+        k::DOUBLE / 101 AS prob
       FROM n0 JOIN ns USING (hadm_id))
 """
 
