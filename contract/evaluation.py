@@ -88,12 +88,11 @@ def run_metrics(spark, d):
 
 @query(
     "single_run_report",
-    f"""WITH {PM} SELECT {KEYS}, metric, round_even(value, 3) AS value FROM m WHERE run = 3
-      UNION ALL SELECT {KEYS}, 'prevalence', round_even(prevalence, 3) FROM w1 WHERE run = 3""",
+    f"""WITH {PM} SELECT {KEYS}, metric, round_even(value, 3) AS value FROM m
+      UNION ALL SELECT {KEYS}, 'prevalence', round_even(prevalence, 3) FROM w1""",
 )
 def single_run_report(spark, d):
-    one = predictions(spark, d).filter(F.col("run") == 3)
-    return evaluate.single_run_report(one, with_prevalence=True)
+    return evaluate.single_run_report(predictions(spark, d), with_prevalence=True)
 
 
 _DEFINED = """CASE metric WHEN 'sensitivity' THEN 'When it''s ACTUALLY YES, how often does it PREDICT YES?'

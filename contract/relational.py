@@ -359,12 +359,12 @@ def union_splits(spark, d):
 
 @query(
     "intersect_groups",
-    f"WITH {N} SELECT DISTINCT hadm_id FROM n WHERE imminent_adm_label = 1 INTERSECT SELECT hadm_id FROM n WHERE prolonged_stay_label = 0 AND k < 4",
+    f"WITH {N} SELECT DISTINCT hadm_id FROM n WHERE imminent_adm_label = 1 INTERSECT SELECT hadm_id FROM n WHERE deathtime IS NOT NULL",
 )
 def intersect_groups(spark, d):
     df = notes(spark, d)
     left = df.filter(F.col("imminent_adm_label") == 1)
-    right = df.filter((F.col("prolonged_stay_label") == 0) & (F.col("k") < 4))
+    right = df.filter(F.col("deathtime").isNotNull())
     return reshape.intersect_groups(left, right, "hadm_id")
 
 
