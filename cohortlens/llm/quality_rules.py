@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOL = r"[#*$%&|<>]"
+SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 
 # Common function words, plain letters only.
@@ -26,6 +26,7 @@ STOP_WORDS = (
     "de des du elle en est et il la le les par pas pour que qui sur un une dans avec au "
     "al como con del el ha las lo los no para por se su una y o"
 ).split()
+STOP_FORMS = tuple(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize())))
 
 
 @dataclass(frozen=True)
@@ -59,39 +60,42 @@ MOST_REPEATED_PERCENT = 30
 
 def measure(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` in a struct ``row``, and the counts that the rules compare."""
-    words, lines, hashes = F.col("words"), F.col("lines"), F.col("hashes")
+    words, lines, fours = F.col("words"), F.col("lines"), F.col("fours")
     out = df.select(
         F.struct(*[F.col(c) for c in keep]).alias("row"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
+    inner = F.btrim("text", F.lit(SPACES))
     out = out.select(
         "row",
-        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+")).alias("words"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
+        F.filter(F.split("text", "\n"), lambda x: _inner(x) != "").alias("lines"),
     )
-    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW))
     out = out.select(
         "*",
         F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _count(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$")).alias("n_ellipsis_lines"),
-        _count(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]")).alias("n_bullet_lines"),
-        _count(words, lambda x: F.lower(x).isin(*STOP_WORDS)).alias("n_stop_words"),
-        # Places are looked up one by one: a slice would copy the whole array each time.
-        F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])).alias("hashes"),
-    )
-    # Only a text with a repeated window pays for the sort that finds its places.
-    repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    out = out.withColumn(
-        "placed",
-        F.when(
-            repeated,
-            F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))),
-        ),
+        _count(lines, lambda x: _inner(x).endswith("...") | _inner(x).endswith("…")).alias("n_ellipsis_lines"),
+        _count(lines, lambda x: F.substring(_inner(x), 1, 1).isin("-", "*", "•")).alias("n_bullet_lines"),
+        _count(words, lambda x: x.isin(*STOP_FORMS)).alias("n_stop_words"),
+        F.transform(words, lambda x: F.xxhash64(x)).alias("ones"),
+    ).drop("words", "lines")
+    # Windows of one, two and four words. Places are looked up one by one: a slice would
+    # copy the whole array each time. A pair beyond the end is null and hashes as such.
+    for short, long, width in (("ones", "twos", 1), ("twos", "fours", 2)):
+        out = out.select(
+            "*", F.transform(short, lambda h, i: F.xxhash64(h, F.get(F.col(short), i + width))).alias(long)
+        ).drop(short)
+    # Only a text with a repeated window of four words can repeat eight, and pays for the sort.
+    repeated = (F.col("n_words") >= WINDOW) & (F.size(F.array_distinct(fours)) < F.size(fours))
+    eights = F.transform(
+        F.sequence(F.lit(0), F.size(fours) - WINDOW),
+        lambda i: F.struct(F.xxhash64(F.get(fours, i), F.get(fours, i + 4)).alias("h"), i.alias("at")),
     )
+    out = out.withColumn("placed", F.when(repeated, F.sort_array(eights))).drop("fours")
     placed = F.col("placed")
     last = F.size(placed) - 1
     out = out.withColumn(
@@ -113,7 +117,11 @@ def measure(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame
         "n_repeat_words",
         F.coalesce(F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")),
     )
-    return out.drop("words", "lines", "hashes", "placed", "places")
+    return out.drop("placed", "places")
+
+
+def _inner(x: Column) -> Column:
+    return F.btrim(x, F.lit(SPACES))
 
 
 def _count(items: Column, test) -> Column:
@@ -154,7 +162,7 @@ def _sql_rule(r: Rule) -> str:
 
 def oracle_sql(rules: Sequence[Rule] = RULES) -> str:
     """DuckDB SQL for the same rows over ``documents``."""
-    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    stop = ", ".join(f"'{w}'" for w in STOP_FORMS)
     return f"""
     WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
     w AS (
@@ -172,7 +180,7 @@ def oracle_sql(rules: Sequence[Rule] = RULES) -> str:
              len(regexp_replace(x, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
              coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
-             len(list_filter(words, lambda w: lower(w) IN ({stop}))) AS n_stop_words,
+             len(list_filter(words, lambda w: w IN ({stop}))) AS n_stop_words,
              len(list_filter(lines, lambda l: regexp_matches(l, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines,
              len(list_filter(lines, lambda l: regexp_matches(l, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines
       FROM w LEFT JOIN rep USING (rid)),
