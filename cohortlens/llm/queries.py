@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, mixing, quality_rules, sharding, token_counts, url_filter, warc
+from cohortlens.llm import jaccard_join, language_id, mixing, quality_rules, sharding, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,18 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    # The key only draws the sample; it is no input of a prediction.
+    train = docs.filter(fold != 2).select("text", "lang", F.xxhash64("doc_id").alias("key"))
+    model = language_id.fit(train)
+    held = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    found = language_id.predict(docs, model, keep=["doc_id", held])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 @query("op2_quality_rules", quality_rules.oracle_sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), ["doc_id"])
