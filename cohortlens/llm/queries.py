@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, language_id, mixing, quality_rules, sharding, token_counts, url_filter, warc
+from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir)).drop("row")
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontamination.find_leaks(documents(spark, sf_dir), benchmark)
+    return leaks.select("doc_id", "item_id", "n_windows", "item_windows", "coverage")
+
+
 @query("op7_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
