@@ -73,13 +73,17 @@ def template(text: wa.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stops = np.append(0, np.cumsum(stop))
     upper = (data >= 65) & (data <= 90)
     upper[accent - 1] = True
+    small = (data >= 97) & (data <= 122)
+    small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0xA0)
+    smalls = np.append(0, np.cumsum(small))
+    shouted = smalls[words.end] == smalls[words.start]  # all capitals say nothing about names
     data[accent] += 32
     h = wa.hashes(data, words.start, words.end)
     follows = np.append(False, words.row[1:] == words.row[:-1])
     gap = np.zeros(len(h), dtype=bool)
     gap[1:] = stops[words.start[1:]] > stops[words.end[:-1]]
     number = digit[words.start]
-    name = upper[words.start] & follows & ~gap
+    name = upper[words.start] & follows & ~gap & ~shouted
     unit = np.append(False, number[:-1]) & follows & ~gap & ~number & ~name
     unit &= _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h
     code = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, h)))
