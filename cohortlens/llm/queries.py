@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_counts, url_filter, warc
+from cohortlens.llm import decontamination, jaccard_join, kneser_ney, language_id, mixing, quality_rules, sharding, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir)).select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op4_kneser_ney")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kneser_ney.classify(documents(spark, sf_dir), labels)
+
+
 @query("op5_sharding")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir)).drop("row")
