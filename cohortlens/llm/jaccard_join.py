@@ -34,7 +34,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import storage
@@ -417,7 +417,7 @@ def classes(links: DataFrame, name: str = "classes") -> DataFrame:
 def link_classes(
     docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """Struct ``row`` of kept columns, ``n_shingles`` and ``component_id`` (a doc_id) for each row."""
+    """Struct ``row`` of kept columns, ``n_shingles``, ``component_id`` (a doc_id) and ``class`` for each row."""
     spark = docs.sparkSession
     carried = F.struct(F.col(doc_id).alias("own_id"), F.struct(*[F.col(c) for c in keep or [doc_id]]).alias("kept"))
     base = docs.select(carried.alias("row"), F.col(text).cast("string").alias("text"))
@@ -464,4 +464,22 @@ def link_classes(
         F.col("row.kept").alias("row"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("row.own_id")).alias("component_id"),
+        "class",
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each class the row with the smallest doc_id (then text hash), unchanged; all rows without words."""
+    own_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
+    key = F.xxhash64(F.col(text))
+    small = docs.select(own_id.alias("own_id"), key.alias("own_key"), F.col(text).alias("text"))
+    linked = link_classes(small, percent, "own_id", "text", ["own_id", "own_key"])
+    first = F.min(F.struct("row.own_id", "row.own_key")).alias("w")
+    winners = linked.filter(F.col("class").isNotNull()).groupBy("class").agg(first)
+    winners = winners.select(F.col("w.own_id").alias("own_id"), F.col("w.own_key").alias("own_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), own_id.alias("own_id"), key.alias("own_key"), F.col(text).alias("text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.filter(worded).drop("text").join(winners, ["own_id", "own_key"])
+    same = Window.partitionBy("own_id", "own_key").orderBy(F.lit(1))
+    kept = kept.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
+    return kept.unionByName(rows.filter(~worded).select("row.*"))
