@@ -117,7 +117,10 @@ def measure(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame
         "n_repeat_words",
         F.coalesce(F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")),
     )
-    return out.drop("placed", "places")
+    # A filter on this count is not pushed below the projections, where it would repeat their
+    # expressions many times over: it needs a column that is made here.
+    out = out.withColumn("at", F.spark_partition_id()).drop("placed", "places")
+    return out.withColumn("n_repeat_words", F.when(F.col("at") >= 0, F.col("n_repeat_words"))).drop("at")
 
 
 def _inner(x: Column) -> Column:
@@ -148,9 +151,7 @@ def judge(df: DataFrame, keep: Sequence[str], text: str = "text", rules: Sequenc
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, unchanged."""
-    judged = judge(docs, docs.columns, text, rules).withColumn("at", F.spark_partition_id())
-    # The filter stays above the projections: pushed below them it would repeat their expressions.
-    return judged.filter(F.col("kept") & (F.col("at") >= 0)).select("row.*")
+    return judge(docs, docs.columns, text, rules).filter("kept").select("row.*")
 
 
 def _sql_rule(r: Rule) -> str:
