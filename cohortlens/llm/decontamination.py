@@ -7,7 +7,8 @@ than ``LITERALS`` plain words say too little and are left out. For each document
 and offset between them, the slots must agree: one value of the item stands for one value
 of the document throughout, and the other way round. So a question with new numbers or
 names is found, and text that merely has the same shape is not. An item is contained when
-its consistent windows reach ``SHARE`` of all its windows.
+its consistent windows reach ``SHARE`` of all its windows. Words in capitals throughout
+say nothing about names, so items are also matched with their names as plain words.
 
 Only windows in a bit map of the benchmark's windows (16 MB at most) leave the task that
 read the text, so what is shuffled follows the matches; the join itself is planned by size.
@@ -54,8 +55,11 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(text: wa.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, template code and slot value (0 for plain words) of each template word."""
+def template(text: wa.Text, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, template code and slot value (0 for plain words) of each template word.
+
+    Without ``names`` all words but numbers and units are plain.
+    """
     data = text.data.copy()
     n = len(data)
     none = np.zeros(0, dtype=np.uint64)
@@ -83,7 +87,7 @@ def template(text: wa.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = np.zeros(len(h), dtype=bool)
     gap[1:] = stops[words.start[1:]] > stops[words.end[:-1]]
     number = digit[words.start]
-    name = upper[words.start] & follows & ~gap & ~shouted
+    name = upper[words.start] & follows & ~gap & ~shouted & names
     unit = np.append(False, number[:-1]) & follows & ~gap & ~number & ~name
     unit &= _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h
     code = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, h)))
@@ -93,14 +97,14 @@ def template(text: wa.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words.row[first], code[first], np.add.reduceat(value, first)
 
 
-def _windows(sizes: list[int], whole_below: int, bitmap: np.ndarray | None, bits: int):
+def _windows(sizes: list[int], whole_below: int, bitmap: np.ndarray | None, bits: int, names: bool = True):
     """Windows of texts; with ``whole_below`` a text of fewer words is one window of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             carried = batch.column(0)
             for text in wa.slices(batch.column(1)):
-                row, code, slot = template(text)
+                row, code, slot = template(text, names)
                 count = np.bincount(row, minlength=text.rows)
                 words = wa.Words(row, row, row, count)
                 plain = np.append(0, np.cumsum(slot == 0))
@@ -157,9 +161,12 @@ def find_leaks(
     items = benchmark.select(F.struct(F.col(item_id).alias("item_id")).alias("row"), F.col(item_text).cast("string").alias("text"))
     row_type = items.schema["row"].dataType.simpleString()
     sizes = list(range(LITERALS, WIDTH + 1))
-    known = items.mapInArrow(_windows(sizes, WIDTH, None, 0), f"row {row_type}, {_SCHEMA}")
+    plain, named = (
+        items.mapInArrow(_windows(sizes, WIDTH, None, 0, names), f"row {row_type}, {_SCHEMA}").withColumn("named", F.lit(names))
+        for names in (False, True)
+    )
     known = storage.materialize(
-        known.select("row.item_id", "size", F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")),
+        plain.union(named).select("row.item_id", "named", "size", F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")),
         "benchmark_windows",
     )
     present = sorted(r[0] for r in known.select("size").distinct().collect())
@@ -173,7 +180,7 @@ def find_leaks(
     met = met.select("row.doc_id", "row.text_key", "size", "at", "window", "slots")
     joined = met.join(known, ["window", "size"])
     slots = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["slots"] != 0)
-    key = ["doc_id", "text_key", "item_id"]
+    key = ["doc_id", "text_key", "item_id", "named"]
     offsets = joined.select(*key, (F.col("at") - F.col("item_at")).alias("offset"), "item_at", slots.alias("pairs"))
     offsets = offsets.groupBy(*key, "offset").agg(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
@@ -184,9 +191,10 @@ def find_leaks(
     )
     places = offsets.filter(agree).select(*key, F.explode("places").alias("place"))
     covered = places.groupBy(*key).agg(F.countDistinct("place").alias("n_windows"))
-    whole = known.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    coverage = F.col("n_windows") / F.col("item_windows")
-    return covered.join(whole, "item_id").withColumn("coverage", coverage).filter(F.col("coverage") >= share)
+    whole = known.groupBy("item_id", "named").agg(F.count("*").alias("item_windows"))
+    best = F.max(F.struct((F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_windows", "item_windows")).alias("best")
+    found = covered.join(whole, ["item_id", "named"]).groupBy("doc_id", "text_key", "item_id").agg(best)
+    return found.select("doc_id", "text_key", "item_id", "best.n_windows", "best.item_windows", "best.coverage").filter(F.col("coverage") >= share)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
