@@ -123,8 +123,6 @@ class PerceptronParams:
     hidden: tuple[int, ...] = (100,)
     batch: int = 128
     max_epochs: int = 100
-    validation_share: float = 0.15
-    max_features: int = 5_000
 
 
 @dataclass(frozen=True)

@@ -219,12 +219,13 @@ def best_run_per_metric(metrics: DataFrame, keys: Sequence[str] = MODEL) -> Data
     entry = F.struct(F.col("value"), (-F.col("run")).alias("early"))
     best = metrics.groupBy(*keys, "metric").agg(F.max(F.when(usable, entry)).alias("b"))
     run = -F.col("b.early")
+    name = F.concat(F.col("task"), F.lit("_")) if "task" in keys else F.lit("")
     return best.select(
         *keys,
         "metric",
         F.coalesce("b.value", F.lit(0.0)).alias("value"),
         run.alias("run"),
-        F.concat(F.col("task"), F.lit("_seed_"), run.cast("string")).alias("model_name"),
+        F.concat(name, F.lit("seed_"), run.cast("string")).alias("model_name"),
     )
 
 

@@ -19,12 +19,12 @@ ODDS_STEPS = (64, 32_768)
 OUTSIDE = 1_000_000_000
 
 
-def score_levels(x: Column, depth: int = 1) -> dict[str, Column]:
+def score_levels(x: Column, depth: int = 2) -> dict[str, Column]:
     """Levels for a score in [0, 1], and any number outside it.
 
     Buckets are even in log odds: fine near 0 and 1, where scores of rare or
     frequent classes crowd. Depth two cuts each bucket once more, for scores that
-    crowd elsewhere.
+    crowd elsewhere, as those of balanced models do around one half.
     """
     odds = F.log2(x / (1 - x))
     return {
@@ -36,7 +36,7 @@ def score_levels(x: Column, depth: int = 1) -> dict[str, Column]:
     }
 
 
-def falling_levels(x: Column, depth: int = 1) -> dict[str, Column]:
+def falling_levels(x: Column, depth: int = 2) -> dict[str, Column]:
     """Levels for scores from high to low."""
     return {name: -level for name, level in score_levels(x, depth).items()}
 

@@ -19,6 +19,13 @@ def duplicate_tokens(table: DataFrame) -> DataFrame:
     return table.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 
+def unique_tokens(table: DataFrame) -> DataFrame:
+    """The table, refused when it is read if a token occurs twice."""
+    twice = F.count("*").over(Window.partitionBy("token")) > 1
+    message = F.concat(F.lit("token occurs twice: "), F.col("token"))
+    return table.withColumn("token", F.when(twice, F.raise_error(message).cast("string")).otherwise(F.col("token")))
+
+
 def shape(table: DataFrame) -> DataFrame:
     return table.agg(
         F.count("*").alias("vocab_size"), F.max(F.size("vec")).cast("long").alias("dimension")
@@ -54,8 +61,8 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def nearest_neighbors(queries: DataFrame, table: DataFrame, n: int, places: int = 6) -> DataFrame:
-    """Exact n nearest rows of the table for every query (query, vec).
+def nearest_neighbors(queries: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """Exact n nearest rows of the table for every query (query, vec), equal distances by idx.
 
     The queries are a short list given by the caller; they travel as one scalar, so
     the table is scanned once and never joined. The row limit per query is applied
@@ -67,7 +74,7 @@ def nearest_neighbors(queries: DataFrame, table: DataFrame, n: int, places: int
         F.col("q.query").alias("query"),
         "idx",
         "token",
-        F.round(distance(F.col("vec"), F.col("q.vec")), places).alias("distance"),
+        distance(F.col("vec"), F.col("q.vec")).alias("distance"),
     )
     order = Window.partitionBy("query").orderBy("distance", "idx")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -61,16 +61,6 @@ RUN_METRICS_SCHEMA = T.StructType(
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer tasks than there are cores.
-
-    A small Parquet file has one row group and is read by one task. Large tables
-    have more tasks than cores and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType = NOTES_SCHEMA) -> DataFrame:
     """Typed CSV scan; quoted fields may span lines. Ingest once, then use Parquet:
     a file whose records span lines cannot be split."""
@@ -94,8 +84,16 @@ def sink_csv(df: DataFrame, path: str) -> None:
 
 
 def sink_predictions(preds: DataFrame, path: str) -> None:
-    """Parquet, partitioned by task and model, so that one model reads only its files."""
-    preds.write.mode("append").partitionBy("task", "model").parquet(path)
+    """Parquet, partitioned by task and model, so that one model reads only its files.
+
+    A repeated write replaces the tasks and models that it holds, and no others.
+    """
+    _replace_partitions(preds, path)
+
+
+def _replace_partitions(df: DataFrame, path: str) -> None:
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("task", "model").parquet(path)
 
 
 def sink_seed_predictions(preds: DataFrame, path: str, task: str, model: str, run: int) -> None:
@@ -112,7 +110,8 @@ def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sink_run_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("append").partitionBy("task", "model").parquet(path)
+    """As for predictions: a repeated write replaces its tasks and models."""
+    _replace_partitions(metrics, path)
 
 
 def scan_run_metrics(spark: SparkSession, path: str) -> DataFrame:

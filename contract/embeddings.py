@@ -71,14 +71,14 @@ def join_lookup_fallback(spark, d):
 @query(
     "nearest_neighbors",
     f"""WITH {V}, q AS (SELECT token AS query, vec AS qv FROM v WHERE token IN ('w1', 'w2', 'w7', 'w40')),
-      s AS (SELECT query, idx, token, round(list_distance(vec, qv), 6) AS distance FROM v CROSS JOIN q)
-    SELECT query, idx, token, distance, (row_number() OVER (PARTITION BY query ORDER BY distance, idx))::INTEGER AS rank FROM s
+      s AS (SELECT query, idx, token, list_distance(vec, qv) AS list_distance, round(list_distance(vec, qv), 6) AS distance FROM v CROSS JOIN q)
+    SELECT query, idx, token, distance, (row_number() OVER (PARTITION BY query ORDER BY list_distance, idx))::INTEGER AS rank FROM s
     QUALIFY rank <= 10""",
 )
 def nearest_neighbors(spark, d):
     table = vectors(spark, d)
     queries = ops.lookup(table, TOKENS).select(F.col("token").alias("query"), "vec")
-    return ops.nearest_neighbors(queries, table, 10)
+    return rounded(ops.nearest_neighbors(queries, table, 10), "distance")
 
 
 @query(
@@ -87,7 +87,7 @@ def nearest_neighbors(spark, d):
       q AS (SELECT w1, w2, w3, list_transform(range(1, len(a.vec) + 1), lambda i: c.vec[i] + (b.vec[i] - a.vec[i])) AS qv
         FROM t JOIN v a ON a.token = w1 JOIN v b ON b.token = w2 JOIN v c ON c.token = w3),
       s AS (SELECT w1, w2, w3, v.token, row_number() OVER (PARTITION BY w1, w2, w3
-          ORDER BY round(list_distance(v.vec, qv), 6), idx) AS rk FROM q CROSS JOIN v)
+          ORDER BY list_distance(v.vec, qv), idx) AS rk FROM q CROSS JOIN v)
     SELECT w1, w2, w3, coalesce(string_agg(w1 || ' : ' || w2 || ' :: ' || w3 || ' : ' || token, chr(10) ORDER BY rk)
         FILTER (WHERE token NOT IN (w1, w2, w3)), 'Could not find nearest neighbors for computed vector!') AS answer
     FROM s WHERE rk <= 4 GROUP BY w1, w2, w3""",

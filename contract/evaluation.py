@@ -56,11 +56,13 @@ def agg_confusion_avg(spark, d):
 @query(
     "confusion_normalized",
     f"""WITH {P} SELECT {KEYS}, target AS true_label, pred AS pred_label,
-      round(count(*) / sum(count(*)) OVER (PARTITION BY {KEYS}, target), 6) AS share FROM p GROUP BY {KEYS}, target, pred""",
+      round(count(pred_is) / sum(count(pred_is)) OVER (PARTITION BY {KEYS}, target), 6) AS share
+      FROM (SELECT {KEYS}, target, l.pred, CASE WHEN p.pred = l.pred THEN 1 END AS pred_is FROM p CROSS JOIN (VALUES (0), (1)) l(pred))
+      GROUP BY {KEYS}, target, pred""",
 )
 def confusion_normalized(spark, d):
     out = evaluate.confusion_normalized(evaluate.confusion(predictions(spark, d)))
-    return rounded(out, "share").filter(F.col("share") > 0)
+    return rounded(out, "share")
 
 
 def _ratio_query(metric: str) -> None:

@@ -51,10 +51,10 @@ def scan_csv(spark, d):
     return tables.scan_csv(spark, _stored_documents(spark, d), DOC_SCHEMA)
 
 
-@query("sink_csv", f"SELECT row_id, md5(text) AS digest, length(text)::INTEGER AS n FROM ({_DOCUMENTS}) WHERE text <> ''")
+@query("sink_csv", f"SELECT row_id, md5(nullif(text, '')) AS digest, length(nullif(text, ''))::INTEGER AS n FROM ({_DOCUMENTS})")
 def sink_csv(spark, d):
     back = tables.scan_csv(spark, _stored_documents(spark, d), DOC_SCHEMA)
-    return back.filter(F.col("text").isNotNull()).select("row_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
+    return back.select("row_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
 
 
 @query(
@@ -78,13 +78,14 @@ def scan_csv_projected(spark, d):
     )
 
 
-@query("sink_predictions", f"WITH {P} SELECT model, count(*) AS n, round(sum(prob), 6) AS prob, sum(pred)::BIGINT AS pred FROM p WHERE task = 'ia' GROUP BY 1")
+@query("sink_predictions", f"WITH {P} SELECT task, model, count(*) AS n, round(sum(prob), 6) AS prob, sum(pred)::BIGINT AS pred FROM p GROUP BY 1, 2")
 def sink_predictions(spark, d):
     path = scratch_path(spark, "predictions")
-    tables.sink_predictions(predictions(spark, d), path)
-    back = tables.scan_predictions(spark, path).filter(F.col("task") == "ia")
+    for _ in range(2):  # a repeated write leaves the same rows
+        tables.sink_predictions(predictions(spark, d), path)
+    back = tables.scan_predictions(spark, path)
     return rounded(
-        back.groupBy("model").agg(F.count("*").alias("n"), F.sum("prob").alias("prob"), F.sum("pred").alias("pred")), "prob"
+        back.groupBy("task", "model").agg(F.count("*").alias("n"), F.sum("prob").alias("prob"), F.sum("pred").alias("pred")), "prob"
     )
 
 
@@ -115,50 +116,51 @@ _AVG = f"""WITH {PM}, a AS (SELECT task, model, metric, round_even(avg(value), 3
 
 @query(
     "sink_metric_csv",
-    f"""{_AVG} PIVOT (SELECT model, metric, printf('%.1f', round(value, 1)) AS value FROM a WHERE task = 'ia')
+    f"""{_AVG} PIVOT (SELECT task || '|' || model AS model, metric, printf('%.1f', round(value, 1)) AS value FROM a)
       ON metric IN ('sensitivity', 'specificity', 'ppv', 'auroc', 'npv', 'f1') USING first(value) GROUP BY model""",
 )
 def sink_metric_csv(spark, d):
-    wide = _ia_table(spark, d)
+    wide = _wide_table(spark, d)
     path = scratch_path(spark, "metrics_csv")
     tables.sink_metric_csv(wide, path, "model", 1)
     return tables.scan_metric_csv(spark, path, "model", {m: "string" for m in METRICS})
 
 
-def _ia_table(spark, d):
-    averages = evaluate.avg_metrics(evaluate.run_metrics(predictions(spark, d))).filter(F.col("task") == "ia")
+def _wide_table(spark, d):
+    averages = evaluate.avg_metrics(evaluate.run_metrics(predictions(spark, d)))
+    averages = averages.withColumn("model", F.concat_ws("|", "task", "model"))
     return reshape.transpose_metrics(averages, ["model"], METRICS)
 
 
 @query(
     "scan_metric_csv",
-    f"""{_AVG} SELECT metric, model, round(value, 3) AS value FROM a WHERE task = 'ia'
-      QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, list_position(['lr', 'rf', 'gbm', 'mlp'], model)) = 1""",
+    f"""{_AVG} SELECT task, metric, model, round(value, 3) AS value FROM a
+      QUALIFY row_number() OVER (PARTITION BY task, metric ORDER BY value DESC, list_position(['lr', 'rf', 'gbm', 'mlp'], model)) = 1""",
 )
 def scan_metric_csv(spark, d):
-    averages = evaluate.avg_metrics(evaluate.run_metrics(predictions(spark, d))).filter(F.col("task") == "ia")
+    averages = evaluate.avg_metrics(evaluate.run_metrics(predictions(spark, d)))
     best = evaluate.best_model_per_metric(averages, model_order())
     path = scratch_path(spark, "best_csv")
     # The label column keeps text; numbers are written with three decimals.
-    labelled = best.select(F.concat_ws("|", "metric", "model").alias("metric"), "value")
+    labelled = best.select(F.concat_ws("|", "task", "metric", "model").alias("metric"), "value")
     tables.sink_metric_csv(labelled, path, "metric", 3)
     back = tables.scan_metric_csv(spark, path, "metric", {"value": "double"})
     parts = F.split("metric", r"\|")
-    return back.select(parts[0].alias("metric"), parts[1].alias("model"), "value")
+    return back.select(parts[0].alias("task"), parts[1].alias("metric"), parts[2].alias("model"), "value")
 
 
-@query("scan_embeddings_text", f"WITH {V} SELECT token, len(vec)::INTEGER AS n, round(list_sum(vec), 6) + 0 AS total, 1::BIGINT AS copies FROM v")
+@query("scan_embeddings_text", f"WITH {V} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, token, len(vec)::INTEGER AS n, round(list_sum(vec), 6) + 0 AS total, 1::BIGINT AS copies FROM v")
 def scan_embeddings_text(spark, d):
     source = vectors(spark, d)
     path = scratch_path(spark, "embeddings_text")
-    source.select(
+    source.orderBy("idx").select(
         F.concat_ws(" ", "token", F.array_join(F.transform("vec", lambda x: x.cast("string")), " "), F.lit("")).alias("value")
     ).write.text(path)
-    back = tables.scan_embeddings_text(spark, path)
+    back = vector_ops.unique_tokens(tables.scan_embeddings_text(spark, path))
     copies = back.groupBy("idx").agg(F.count("*").alias("copies"))
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return rounded(
-        back.join(copies, "idx").select("token", F.size("vec").alias("n"), total.alias("total"), "copies"), "total"
+        back.join(copies, "idx").select("idx", "token", F.size("vec").alias("n"), total.alias("total"), "copies"), "total"
     )
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.config import MAX_FEATURES
 from cohortlens.functions.scalar import round_metric
 from cohortlens.operators import features, markers, splits, training
 from cohortlens.plans.search import GBM_SPACE, sample_params
 from contract.registry import query, rounded
 from contract.tables import S, STOP, T1, T2, TERMS_SQL, WORDS, labelled_documents, table, talks, term_scores
 
-MAIN = features.Weighting(features.MAIN.terms, binary=True, max_features=5_000)
+MAIN = features.Weighting(features.MAIN.terms, binary=True, max_features=MAX_FEATURES)
 
 _WS = r"regexp_extract_all({0}, '[^\s\x0b\x1c-\x1f\x85\p{{Z}}]+')"
 # Terms per row: d(row_id, hadm_id, terms) for the two token rules.
@@ -18,7 +19,7 @@ _MAIN_DOCS = f"""{T1}, w AS (SELECT row_id, hadm_id, {WORDS.format('note')} AS w
   d AS (SELECT row_id, hadm_id, {TERMS_SQL.format('w')} AS terms FROM w)"""
 _SEARCH_DOCS = f"{T1}, d AS (SELECT row_id, hadm_id, {_WS.format('note')} AS terms FROM t1)"
 _DF = "df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM {0}) GROUP BY term {1})"
-_TOP = "tv AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT * FROM df ORDER BY df DESC, term LIMIT 5000))"
+_TOP = "tv AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT * FROM df ORDER BY df DESC, term LIMIT 60000))"
 _ALL_TERMS = "tv AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM df)"
 
 
@@ -39,9 +40,9 @@ def doc_frequency(spark, d):
     return features.document_frequency(features.with_terms(_docs(spark, d), features.SEARCH), 3)
 
 
-@query("topk_vocab", f"WITH {_MAIN_DOCS}, {_DF.format('d', '')} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 5000")
+@query("topk_vocab", f"WITH {_MAIN_DOCS}, {_DF.format('d', '')} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 60000")
 def topk_vocab(spark, d):
-    return features.top_terms(features.document_frequency(features.with_terms(_docs(spark, d), MAIN)), 5_000)
+    return features.top_terms(features.document_frequency(features.with_terms(_docs(spark, d), MAIN)), MAX_FEATURES)
 
 
 @query("vocab_index", f"WITH {_MAIN_DOCS}, {_DF.format('d', '')}, {_TOP} SELECT term, df, idx FROM tv")
