@@ -53,26 +53,19 @@ def top_terms(frequencies: DataFrame, k: int) -> DataFrame:
     return first_k(ordered, levels, ["rare", "term"], k).drop("rare")
 
 
-def with_index(vocab: DataFrame, bounded: bool = False) -> DataFrame:
-    """Alphabetical column index, from zero. A vocabulary with a feature cap fits one task."""
-    if bounded:
-        return vocab.withColumn("idx", F.row_number().over(Window.orderBy("term")).cast("long") - 1)
+def with_index(vocab: DataFrame) -> DataFrame:
+    """Alphabetical column index, from zero."""
     one = vocab.withColumn("one", F.lit(1).cast("long"))
     ranked = running_sums(one, [], text_levels(F.col("term")), ["term"], ["one"])
     return ranked.select(*vocab.columns, (F.col("cum_one") - 1).alias("idx"))
 
 
-def is_bounded(weighting: Weighting) -> bool:
-    """Whether the vocabulary is small by definition."""
-    return weighting.max_features is not None and weighting.max_features <= MAX_FEATURES
-
-
 def vocabulary(docs: DataFrame, weighting: Weighting) -> DataFrame:
     """(term, df, idx) of the terms a weighting keeps."""
     frequencies = document_frequency(docs, weighting.min_df)
     if weighting.max_features is not None:
         frequencies = top_terms(frequencies, weighting.max_features)
-    return with_index(frequencies, is_bounded(weighting))
+    return with_index(frequencies)
 
 
 def idf_smooth(n: Column, df: Column) -> Column:
@@ -88,11 +81,10 @@ def l2_normalize(weights: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, binary: bool) -> DataFrame:
     """(row_id, term, tf). Rows are placed by id first, so that counting the terms of
     a document and normalizing its weights need no further shuffle."""
-    placed = docs.select("row_id", "terms").repartition("row_id")
     if binary:
-        return placed.select(
-            "row_id", F.explode(F.array_distinct("terms")).alias("term"), F.lit(1).cast("long").alias("tf")
-        )
+        reduced = docs.select("row_id", F.array_distinct("terms").alias("terms")).repartition("row_id")
+        return reduced.select("row_id", F.explode("terms").alias("term"), F.lit(1).cast("long").alias("tf"))
+    placed = docs.select("row_id", "terms").repartition("row_id")
     return (
         placed.select("row_id", F.explode("terms").alias("term"))
         .groupBy("row_id", "term")
@@ -100,15 +92,13 @@ def term_counts(docs: DataFrame, binary: bool) -> DataFrame:
     )
 
 
-def weigh(docs: DataFrame, vocab: DataFrame, n_docs: Column, binary: bool, bounded: bool) -> DataFrame:
+def weigh(docs: DataFrame, vocab: DataFrame, n_docs: Column, binary: bool) -> DataFrame:
     """(row_id, term, idx, weight): sublinear tf times smooth idf, rows of norm one.
 
-    A vocabulary with a feature cap is broadcast; without one the planner decides
-    by its size.
+    The planner broadcasts the vocabulary or not by its size.
     """
-    side = F.broadcast(vocab) if bounded else vocab
     weight = (1 + F.log("tf")) * idf_smooth(n_docs, F.col("df"))
-    raw = term_counts(docs, binary).join(side, "term").select("row_id", "term", "idx", weight.alias("weight"))
+    raw = term_counts(docs, binary).join(vocab, "term").select("row_id", "term", "idx", weight.alias("weight"))
     return l2_normalize(raw)
 
 
@@ -123,7 +113,7 @@ def tfidf(
     fitted = with_terms(docs if train is None else train, weighting, column)
     vocab = vocabulary(fitted, weighting)
     scored = with_terms(docs, weighting, column)
-    return weigh(scored, vocab, _count(fitted), weighting.binary, is_bounded(weighting))
+    return weigh(scored, vocab, _count(fitted), weighting.binary)
 
 
 def tfidf_fixed_vocab(
@@ -132,7 +122,7 @@ def tfidf_fixed_vocab(
     """Weights over a given (term, idx) vocabulary, idf from the scored documents."""
     scored = with_terms(docs, weighting, column)
     vocab = terms.join(document_frequency(scored), "term").select("term", "df", "idx")
-    return weigh(scored, vocab, _count(scored), weighting.binary, bounded=False)
+    return weigh(scored, vocab, _count(scored), weighting.binary)
 
 
 def frequency_by_seed(docs: DataFrame, train: dict[int, Column], min_df: int = 1) -> DataFrame:
