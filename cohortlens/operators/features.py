@@ -6,13 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.config import MAX_FEATURES, MIN_DOC_FREQUENCY
 from cohortlens.functions import text
 from cohortlens.operators.ordering import first_k, running_sums, text_levels
+from cohortlens.storage import scratch_path
 
 
 @dataclass(frozen=True)
@@ -176,21 +178,26 @@ def vector_stages(vocab: DataFrame, n_docs: int, binary: bool = True) -> list:
 def assemble_vectors(docs: DataFrame, weights: DataFrame, size: int) -> DataFrame:
     """Add ``features`` to every document from its (idx, weight) rows.
 
-    Works for any weighting and keeps the vocabulary out of the driver.
+    Works for any weighting and keeps the vocabulary out of the driver. A vector is
+    stored as the struct that its type is made of and read back as a vector, so no
+    Python builds it.
     """
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def sparse(idx, weight):
-        return SparseVector(size, [int(i) for i in idx], [float(w) for w in weight])
-
     rows = weights.groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("e")
     )
     empty = F.array().cast("array<struct<idx:bigint,weight:double>>")
-    entries = F.coalesce("e", empty)
-    return (
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(int(size)).alias("size"),
+        F.transform("e", lambda x: x["idx"].cast("int")).alias("indices"),
+        F.transform("e", lambda x: x["weight"]).alias("values"),
+    )
+    stored = (
         docs.join(rows, "row_id", "left")
-        .withColumn("e", entries)
-        .withColumn("features", sparse(F.col("e.idx"), F.col("e.weight")))
-        .drop("e")
+        .withColumn("e", F.coalesce("e", empty))
+        .select(*docs.columns, parts.alias("features"))
     )
+    path = scratch_path(docs.sparkSession, "vectors")
+    stored.write.parquet(path)
+    schema = T.StructType([*[f for f in stored.schema if f.name != "features"], T.StructField("features", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(path)
