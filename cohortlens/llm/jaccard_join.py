@@ -19,7 +19,7 @@ Large groups. Copies are one point. Below a root the first round asks only for a
 the likeliest links of each leaf; the second round asks for pairs whose classes still
 differ, so a group of near copies costs about one check per member and root, not all
 pairs. A root of more than ``TILE`` points is cut into tiles whose pairs are separate
-roots. Nothing but the table of counts (4 MB) and a bit map of ids (at most 16 MB) is
+roots. Nothing but the table of counts (16 MB) and a bit map of ids (at most 16 MB) is
 sent to executors; classes come from rounds of star contraction over the links.
 
 Points are told apart by 64 bits: of n different sets, two fall together with a chance
@@ -30,6 +30,7 @@ component_id; an empty table gives an empty table; other columns are carried in
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,10 +42,11 @@ from cohortlens import storage
 from cohortlens.llm import wordarrays as wa
 
 WORDS = 5
-GROUPS = 64
-SKETCH_BITS = 20
+GROUPS = 256
+FULL = 65_535  # a larger count makes the whole point pass the bound
+SKETCH_BITS = 22
 SKETCH_PARTS = 64
-POSTINGS_PER_PART = 1 << 21
+POSTINGS_PER_PART = 1 << 20
 FLUSH = 1 << 22
 TILE = 100_000
 LEAF = 64
@@ -69,7 +71,7 @@ def shingle_sets(text: wa.Text, size: int = WORDS) -> Iterator[np.ndarray]:
             yield own[np.append(True, own[1:] != own[:-1])]
         elif n:
             own = h[first[r] : first[r] + n]
-            total = (own * wa.powers(n)).sum(dtype=np.uint64, keepdims=True) + np.uint64(n) * _SALT
+            total = (own * wa.powers(n)).sum(dtype=np.uint64, keepdims=True) + np.full(1, n, dtype=np.uint64) * _SALT
             yield wa.mix(total)
         else:
             yield g[:0]
@@ -81,6 +83,12 @@ def _identity(own: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
+def _counts(own: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each group."""
+    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < FULL else np.full(GROUPS, FULL)).astype(np.uint16)
+
+
 def _slot(own: np.ndarray) -> np.ndarray:
     return (own >> np.uint64(20)) & np.uint64((1 << SKETCH_BITS) - 1)
 
@@ -92,24 +100,32 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of points (part -1), carried columns beside them, and parts of the table of counts."""
     table = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    schema = None
+    schema, seen, held = None, [], 0
+
+    def tally() -> None:
+        nonlocal held
+        if seen:
+            table[:] += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(table))
+        seen.clear()
+        held = 0
+
     for batch in batches:
         n, ids, checks, counts = [], [], [], []
         for text in wa.slices(_column(batch, "text")):
-            seen = []
             for own in shingle_sets(text):
                 n.append(len(own))
                 if len(own):
                     a, b = _identity(own)
                     seen.append(_slot(own))
-                    counts.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    held += len(own)
+                    counts.append(_counts(own).tobytes())
                 else:
                     a, b = 0, 0
                     counts.append(None)
                 ids.append(a)
                 checks.append(b)
-            if seen:
-                table += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(table))
+            if held > 1 << 20:
+                tally()
         row = _column(batch, "row")
         schema = row.type
         yield pa.RecordBatch.from_arrays(
@@ -124,6 +140,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["part", "n", "id", "check", "counts", "row"],
         )
     if schema is not None:
+        tally()
         pieces = np.split(np.minimum(table, 2**31 - 1).astype(np.int32), SKETCH_PARTS)
         none = pa.nulls(SKETCH_PARTS, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -132,7 +149,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 none,
                 none,
                 none,
-                pa.array([p.tobytes() for p in pieces], pa.binary()),
+                pa.array([zlib.compress(p.tobytes(), 1) for p in pieces], pa.binary()),
                 pa.nulls(SKETCH_PARTS, schema),
             ],
             ["part", "n", "id", "check", "counts", "row"],
@@ -143,7 +160,7 @@ def _summed(group: pa.Table) -> pa.Table:
     """One part of the table of counts, over all tasks."""
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, dtype=np.int64)
     for piece in group.column("counts"):
-        total += np.frombuffer(piece.as_py(), dtype=np.int32)
+        total += np.frombuffer(zlib.decompress(piece.as_py()), dtype=np.int32)
     total = np.minimum(total, 2**31 - 1).astype(np.int32)
     return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
@@ -265,7 +282,8 @@ class _Forest:
 
 def _passing(counts: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of two leaves that the bound lets pass, and how well."""
-    bound = np.minimum(counts[a][:, None, :], counts[b][None, :, :]).sum(axis=2)
+    bound = np.minimum(counts[a][:, None, :], counts[b][None, :, :]).sum(axis=2, dtype=np.int64)
+    bound[(counts[a][:, 0] == FULL)[:, None] | (counts[b][:, 0] == FULL)[None, :]] = 1 << 40
     total = n[a][:, None] + n[b][None, :]
     i, j = np.nonzero(bound * (100 + percent) >= percent * total)
     return a[i], b[j], bound[i, j] / total[i, j]
@@ -298,7 +316,7 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, label: np.ndarray | None, perc
     alone = np.array([label[x[0]] if len(set(label[x].tolist())) == 1 else 0 for x in leaves])
     for p, a in enumerate(leaves):
         # Boxes: the largest counts of both bound what any two of their points share.
-        shared = np.minimum(top[p], top[p:]).sum(axis=1)
+        shared = np.where((top[p, 0] == FULL) | (top[p:, 0] == FULL), 1 << 40, 0) + np.minimum(top[p], top[p:]).sum(axis=1, dtype=np.int64)
         near = (shared * (100 + percent) >= percent * (least[p] + least[p:])) & (percent * least[p:] <= 100 * most[p])
         near &= (alone[p:] == 0) | (alone[p:] != alone[p])
         for q in np.flatnonzero(near) + p:
@@ -324,7 +342,7 @@ def _candidates(percent: int, labelled: bool):
         for s, e in zip(first, np.append(first[1:], len(root))):
             if labelled and (label[s:e] == label[s]).all():
                 continue
-            counts = np.frombuffer(b"".join(vectors[s:e]), dtype=np.int32).reshape(e - s, GROUPS)
+            counts = np.frombuffer(b"".join(vectors[s:e]), dtype=np.uint16).reshape(e - s, GROUPS)
             for i, j in tree_pairs(counts, n[s:e], label[s:e] if labelled else None, percent):
                 x, y = ids[s + i], ids[s + j]
                 a.append(min(x, y))
@@ -441,20 +459,21 @@ def link_classes(
     buckets = max(16, listed.count() // ROWS_PER_BUCKET)
     listed = listed.withColumn("bucket", F.pmod("root", F.lit(buckets)))
 
-    bitmap, bits = _bit_map(listed.select("id").distinct())
-    sets = base.select("text").mapInArrow(_sets_of(bitmap, bits), "id long, set binary").dropDuplicates(["id"])
-    sets = storage.materialize(sets, "jaccard_sets")
-
-    def links(rows: DataFrame, labelled: bool, name: str) -> DataFrame:
+    def links(rows: DataFrame, labelled: bool, turn: int) -> DataFrame:
         pairs = rows.groupBy("bucket").applyInArrow(_candidates(percent, labelled), "a long, b long").distinct()
+        pairs = storage.materialize(pairs, f"jaccard_pairs_{turn}")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = base.select("text").mapInArrow(_sets_of(*_bit_map(ids)), "id long, set binary")
+        sets = storage.materialize(sets.dropDuplicates(["id"]), f"jaccard_sets_{turn}")
         first = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         both = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        return storage.materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"), name)
+        checked = both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+        return storage.materialize(checked, f"jaccard_links_{turn}")
 
-    likely = links(listed, False, "jaccard_links_1")
+    likely = links(listed, False, 1)
     label = classes(likely, "jaccard_classes_1")
     rest = listed.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = links(rest, True, "jaccard_links_2")
+    more = links(rest, True, 2)
     label = classes(likely.unionByName(more), "jaccard_classes_2")
 
     owned = points.join(label, "id", "left").withColumn("class", F.coalesce("label", "id"))
