@@ -477,7 +477,8 @@ def link_classes(
     label = classes(likely.unionByName(more), "jaccard_classes_2")
 
     owned = points.join(label, "id", "left").withColumn("class", F.coalesce("label", "id"))
-    least = owned.filter("n > 0").groupBy("class").agg(F.min("row.own_id").alias("least_id"))
+    # Written first, so that the join below can split a class that very many rows belong to.
+    least = storage.materialize(owned.filter("n > 0").groupBy("class").agg(F.min("row.own_id").alias("least_id")), "jaccard_least")
     owned = owned.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(least, "class", "left")
     return owned.select(
         F.col("row.kept").alias("row"),
