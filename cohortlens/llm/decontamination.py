@@ -7,8 +7,11 @@ than ``LITERALS`` plain words say too little and are left out. For each document
 and offset between them, the slots must agree: one value of the item stands for one value
 of the document throughout, and the other way round. So a question with new numbers or
 names is found, and text that merely has the same shape is not. An item is contained when
-its consistent windows reach ``SHARE`` of all its windows. Words in capitals throughout
-say nothing about names, so items are also matched with their names as plain words.
+its consistent windows reach ``SHARE`` of all its windows. In running text a name at the
+edge of an item can run on into what stands around it, so names at the first and last
+matched word are left out of the comparison. Words in capitals throughout say nothing about
+names, and a capital at the start of an item does inside a sentence; so items and documents
+are both read a second time with their names as plain words.
 
 Only windows in a bit map of the benchmark's windows (16 MB at most) leave the task that
 read the text, so what is shuffled follows the matches; the join itself is planned by size.
@@ -23,6 +26,7 @@ Bytes outside ASCII are letters of a word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,7 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degrees kb mb gb tb hz khz mhz ghz w kw v kv mph kmh"
 ).split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA5A5000000000001, 0xA5A5000000000002, 0xA5A5000000000003))
-_SCHEMA = "size int, at long, window long, slots array<long>"
+_SCHEMA = "named boolean, size int, at long, window long, slots array<long>"
 
 
 def _unit_hashes() -> np.ndarray:
@@ -55,16 +59,24 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(text: wa.Text, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, template code and slot value (0 for plain words) of each template word.
+@dataclass
+class Scan:
+    """What each word of a text is, whichever way names are read."""
 
-    Without ``names`` all words but numbers and units are plain.
-    """
+    row: np.ndarray
+    hash: np.ndarray
+    number: np.ndarray
+    name: np.ndarray
+    unit: np.ndarray
+    joined: np.ndarray  # no row or sentence ends before the word
+
+
+def scan(text: wa.Text) -> Scan:
     data = text.data.copy()
     n = len(data)
-    none = np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=bool)
     if not n:
-        return np.zeros(0, dtype=np.int64), none, none
+        return Scan(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), none, none, none, none)
     accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     digit = (data >= 48) & (data <= 57)
     inside = digit | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128)
@@ -72,7 +84,7 @@ def template(text: wa.Text, names: bool = True) -> tuple[np.ndarray, np.ndarray,
     inside[mark[digit[mark - 1] & digit[mark + 1]]] = True
     words = wa.runs(text, inside)
     if not len(words.start):
-        return words.row, none, none
+        return Scan(words.row, np.zeros(0, dtype=np.uint64), none, none, none, none)
     stop = np.isin(data, np.frombuffer(b".!?:;\n", dtype=np.uint8)) & ~inside
     stops = np.append(0, np.cumsum(stop))
     upper = (data >= 65) & (data <= 90)
@@ -86,54 +98,71 @@ def template(text: wa.Text, names: bool = True) -> tuple[np.ndarray, np.ndarray,
     follows = np.append(False, words.row[1:] == words.row[:-1])
     gap = np.zeros(len(h), dtype=bool)
     gap[1:] = stops[words.start[1:]] > stops[words.end[:-1]]
+    joined = follows & ~gap
     number = digit[words.start]
-    name = upper[words.start] & follows & ~gap & ~shouted & names
-    unit = np.append(False, number[:-1]) & follows & ~gap & ~number & ~name
+    name = upper[words.start] & joined & ~shouted
+    unit = np.append(False, number[:-1]) & joined & ~number
     unit &= _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h
-    code = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, h)))
-    head = ~(name & np.append(False, name[:-1]) & follows & ~gap)  # a run of names is one slot
+    return Scan(words.row, h, number, name, unit, joined)
+
+
+def template(words: Scan, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, template code and slot value of each template word.
+
+    The value is 0 for plain words, odd for names and even for numbers and units. Without
+    ``names`` all words but numbers and units are plain.
+    """
+    name = words.name & names
+    unit = words.unit & ~name
+    code = np.where(words.number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, words.hash)))
+    head = ~(name & np.append(False, name[:-1]) & words.joined) if len(name) else name  # a run of names is one slot
     first = np.flatnonzero(head)
-    value = np.where(number | name | unit, h, np.uint64(0))
-    return words.row[first], code[first], np.add.reduceat(value, first)
+    value = np.where(words.number | name | unit, words.hash, np.uint64(0))
+    value = np.add.reduceat(value, first) if len(first) else value
+    value = np.where(name[first], value | np.uint64(1), value & ~np.uint64(1))
+    return words.row[first], code[first], value
 
 
-def _windows(sizes: list[int], whole_below: int, bitmap: np.ndarray | None, bits: int, names: bool = True):
-    """Windows of texts; with ``whole_below`` a text of fewer words is one window of its own."""
+def _windows(sizes: list[int], whole_below: int, bitmap: np.ndarray | None, bits: int):
+    """Windows of texts, with names and without; with ``whole_below`` a text of fewer words is one window of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             carried = batch.column(0)
             for text in wa.slices(batch.column(1)):
-                row, code, slot = template(text, names)
-                count = np.bincount(row, minlength=text.rows)
-                words = wa.Words(row, row, row, count)
-                plain = np.append(0, np.cumsum(slot == 0))
-                for size in sizes:
-                    g, at = wa.windows(words, code, size)
-                    g = wa.mix(g + np.uint64(size))
-                    keep = plain[at + size] - plain[at] >= min(LITERALS, size)
-                    if size < whole_below:
-                        keep &= count[row[at]] == size
-                    if bitmap is not None:
-                        low = (g & np.uint64((1 << bits) - 1)).astype(np.int64)
-                        keep &= (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-                    g, at = g[keep], at[keep]
-                    if not len(g):
-                        continue
-                    slots = slot[at[:, None] + np.arange(size)].view(np.int64)
-                    first = np.cumsum(count) - count
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            carried.take(pa.array(row[at] + text.first)),
-                            pa.array(np.full(len(g), size, dtype=np.int32)),
-                            pa.array((at - first[row[at]]).astype(np.int64)),
-                            pa.array(g.view(np.int64)),
-                            pa.ListArray.from_arrays(
-                                pa.array(np.arange(0, size * len(g) + 1, size, dtype=np.int32)), pa.array(slots.ravel())
-                            ),
-                        ],
-                        ["row", "size", "at", "window", "slots"],
-                    )
+                scanned = scan(text)
+                for names in (True, False):
+                    row, code, slot = template(scanned, names)
+                    count = np.bincount(row, minlength=text.rows)
+                    words = wa.Words(row, row, row, count)
+                    plain = np.append(0, np.cumsum(slot == 0))
+                    for size in sizes:
+                        g, at = wa.windows(words, code, size)
+                        g = wa.mix(g + np.uint64(size))
+                        keep = plain[at + size] - plain[at] >= min(LITERALS, size)
+                        if size < whole_below:
+                            keep &= count[row[at]] == size
+                        if bitmap is not None:
+                            low = (g & np.uint64((1 << bits) - 1)).astype(np.int64)
+                            keep &= (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                        g, at = g[keep], at[keep]
+                        if not len(g):
+                            continue
+                        slots = slot[at[:, None] + np.arange(size)].view(np.int64)
+                        first = np.cumsum(count) - count
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                carried.take(pa.array(row[at] + text.first)),
+                                pa.array(np.full(len(g), names)),
+                                pa.array(np.full(len(g), size, dtype=np.int32)),
+                                pa.array((at - first[row[at]]).astype(np.int64)),
+                                pa.array(g.view(np.int64)),
+                                pa.ListArray.from_arrays(
+                                    pa.array(np.arange(0, size * len(g) + 1, size, dtype=np.int32)), pa.array(slots.ravel())
+                                ),
+                            ],
+                            ["row", "named", "size", "at", "window", "slots"],
+                        )
 
     return run
 
@@ -161,12 +190,9 @@ def find_leaks(
     items = benchmark.select(F.struct(F.col(item_id).alias("item_id")).alias("row"), F.col(item_text).cast("string").alias("text"))
     row_type = items.schema["row"].dataType.simpleString()
     sizes = list(range(LITERALS, WIDTH + 1))
-    plain, named = (
-        items.mapInArrow(_windows(sizes, WIDTH, None, 0, names), f"row {row_type}, {_SCHEMA}").withColumn("named", F.lit(names))
-        for names in (False, True)
-    )
+    read = items.mapInArrow(_windows(sizes, WIDTH, None, 0), f"row {row_type}, {_SCHEMA}")
     known = storage.materialize(
-        plain.union(named).select("row.item_id", "named", "size", F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")),
+        read.select("row.item_id", "named", "size", F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")),
         "benchmark_windows",
     )
     present = sorted(r[0] for r in known.select("size").distinct().collect())
@@ -177,21 +203,32 @@ def find_leaks(
     )
     row_type = base.schema["row"].dataType.simpleString()
     met = base.mapInArrow(_windows(present, 0, bitmap, bits), f"row {row_type}, {_SCHEMA}")
-    met = met.select("row.doc_id", "row.text_key", "size", "at", "window", "slots")
-    joined = met.join(known, ["window", "size"])
-    slots = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["slots"] != 0)
+    met = met.select("row.doc_id", "row.text_key", "named", "size", "at", "window", "slots")
+    joined = met.join(known, ["window", "size", "named"])
+    placed = F.transform(
+        F.arrays_zip("item_slots", "slots"), lambda s, i: F.struct((F.col("item_at") + i).alias("place"), s["item_slots"].alias("item_slots"), s["slots"].alias("slots"))
+    )
+    slots = F.filter(placed, lambda s: s["slots"] != 0)
     key = ["doc_id", "text_key", "item_id", "named"]
-    offsets = joined.select(*key, (F.col("at") - F.col("item_at")).alias("offset"), "item_at", slots.alias("pairs"))
+    last = F.col("item_at") + F.col("size") - 1
+    offsets = joined.select(*key, (F.col("at") - F.col("item_at")).alias("offset"), "item_at", last.alias("last"), slots.alias("pairs"))
     offsets = offsets.groupBy(*key, "offset").agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        F.collect_set("item_at").alias("places"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.min("item_at").alias("first"),
+        F.max("last").alias("last"),
     )
+    # A name at either edge of the match may run on outside it; numbers and units cannot.
+    whole_run = lambda p: (p["slots"].bitwiseAND(1) == 0) | ((p["place"] > F.col("first")) & (p["place"] < F.col("last")))
+    inner = F.transform(F.filter("pairs", whole_run), lambda p: F.struct(p["item_slots"].alias("item_slots"), p["slots"].alias("slots")))
+    offsets = offsets.withColumn("pairs", F.array_distinct(inner))
     pairs = F.col("pairs")
     agree = (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"])))) & (
         F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["slots"])))
     )
     places = offsets.filter(agree).select(*key, F.explode("places").alias("place"))
     covered = places.groupBy(*key).agg(F.countDistinct("place").alias("n_windows"))
-    whole = known.groupBy("item_id", "named").agg(F.count("*").alias("item_windows"))
+    whole = known.groupBy("item_id", "named").agg(F.countDistinct("item_at").alias("item_windows"))
     best = F.max(F.struct((F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_windows", "item_windows")).alias("best")
     found = covered.join(whole, ["item_id", "named"]).groupBy("doc_id", "text_key", "item_id").agg(best)
     return found.select("doc_id", "text_key", "item_id", "best.n_windows", "best.item_windows", "best.coverage").filter(F.col("coverage") >= share)

@@ -205,6 +205,23 @@ def test_leaks_and_slots(spark, nothing):
     assert decontamination.drop_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+STORY = "If John has 5 apples and buys 7 more from Mary before John gives 3 away to Mary"
+
+
+def test_copies_in_running_text_are_found(spark):
+    before = ["the ", "(", '"', "1) ", "| ", "see Paul ", "as said: "]
+    other = swapped(STORY, ("John", "Peter"), ("Mary", "Anna"))
+    copies = [a + text + b for a in before for text in (STORY, other) for b in ("", " Smith went home", ") and so on")]
+    copies.append("see " + swapped(STORY, ("before John", "before Mary")))  # most windows are there word for word
+    shape = ["the " + swapped(other, ("5 apples", "3 apples")), "see " + swapped(other, ("before Peter", "before Anna"))]
+    short = ["What is the capital of France?"]
+    docs = [(i, t) for i, t in enumerate([*copies, *shape, f'They asked "{short[0]}" again'])]
+    bench = spark.createDataFrame([(0, STORY), (0, STORY), (0, STORY), (1, short[0])], "item_id long, text string")
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    want = {(i, 0) for i in range(len(copies))} | {(len(docs) - 1, 1)}
+    assert {(r.doc_id, r.item_id) for r in found} == want
+
+
 def test_planted_leaks_are_found(spark):
     docs = queries.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
