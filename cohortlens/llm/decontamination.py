@@ -3,7 +3,7 @@
 Numbers, names (capitalised words inside a sentence, runs of them as one) and units after
 a number become typed placeholders, other words count in lower case. Windows of ``WIDTH``
 template words are joined by hash with those of the benchmark's items; windows with fewer
-than ``LITERALS`` plain words say too little and are left out. For each document, item
+than ``LITERALS`` plain words say too little as templates and are joined word for word. For each document, item
 and offset between them, the slots must agree: one value of the item stands for one value
 of the document throughout, and the other way round. So a question with new numbers or
 names is found, and text that merely has the same shape is not. An item is contained when
@@ -11,14 +11,14 @@ its consistent windows reach ``SHARE`` of all its windows. In running text a nam
 edge of an item can run on into what stands around it, so names at the first and last
 matched word are left out of the comparison. Words in capitals throughout say nothing about
 names, and a capital at the start of an item does inside a sentence; so items and documents
-are both read a second time with their names as plain words.
+are both read a second time with their names as plain words. Windows word for word belong
+to this second reading, which finds every whole copy, whatever it holds and stands in.
 
 Only windows in a bit map of the benchmark's windows (16 MB at most) leave the task that
 read the text, so what is shuffled follows the matches; the join itself is planned by size.
 
 Edge cases: null and empty texts have no windows; items of less than ``WIDTH`` but at
-least three words are one window, shorter ones or ones without enough plain words are
-never matched; documents with a null doc_id are reported with a null; repeated rows of
+least three words are one window, shorter ones are never matched; documents with a null doc_id are reported with a null; repeated rows of
 equal doc_id and text are reported once; an empty table on either side gives no rows.
 Bytes outside ASCII are letters of a word.
 """
@@ -47,6 +47,7 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degrees kb mb gb tb hz khz mhz ghz w kw v kv mph kmh"
 ).split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA5A5000000000001, 0xA5A5000000000002, 0xA5A5000000000003))
+EXACT = np.uint64(0xA5A5000000000004)
 _SCHEMA = "named boolean, size int, at long, window long, slots array<long>"
 
 
@@ -68,6 +69,7 @@ class Scan:
     number: np.ndarray
     name: np.ndarray
     unit: np.ndarray
+    listed: np.ndarray  # a unit, if a number stands before the word
     joined: np.ndarray  # no row or sentence ends before the word
 
 
@@ -76,7 +78,7 @@ def scan(text: wa.Text) -> Scan:
     n = len(data)
     none = np.zeros(0, dtype=bool)
     if not n:
-        return Scan(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), none, none, none, none)
+        return Scan(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), none, none, none, none, none)
     accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     digit = (data >= 48) & (data <= 57)
     inside = digit | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128)
@@ -84,7 +86,7 @@ def scan(text: wa.Text) -> Scan:
     inside[mark[digit[mark - 1] & digit[mark + 1]]] = True
     words = wa.runs(text, inside)
     if not len(words.start):
-        return Scan(words.row, np.zeros(0, dtype=np.uint64), none, none, none, none)
+        return Scan(words.row, np.zeros(0, dtype=np.uint64), none, none, none, none, none)
     stop = np.isin(data, np.frombuffer(b".!?:;\n", dtype=np.uint8)) & ~inside
     stops = np.append(0, np.cumsum(stop))
     upper = (data >= 65) & (data <= 90)
@@ -101,9 +103,9 @@ def scan(text: wa.Text) -> Scan:
     joined = follows & ~gap
     number = digit[words.start]
     name = upper[words.start] & joined & ~shouted
-    unit = np.append(False, number[:-1]) & joined & ~number
-    unit &= _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h
-    return Scan(words.row, h, number, name, unit, joined)
+    listed = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h
+    unit = np.append(False, number[:-1]) & joined & ~number & listed
+    return Scan(words.row, h, number, name, unit, listed, joined)
 
 
 def template(words: Scan, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,6 +125,34 @@ def template(words: Scan, names: bool = True) -> tuple[np.ndarray, np.ndarray, n
     return words.row[first], code[first], value
 
 
+def _keys(scanned: Scan, names: bool, row: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int, whole_below: int):
+    """(hash, first word) of the windows of one reading, template keys and keys word for word.
+
+    Without ``whole_below`` every window has a key word for word. Texts that are searched for
+    have it where the template says too little, and where a number before the text would
+    make its first word a unit.
+    """
+    count = np.bincount(row)
+    words = wa.Words(row, row, row, count)
+    plain = np.append(0, np.cumsum(slot == 0))
+    g, at = wa.windows(words, code, size)
+    if size < whole_below:
+        whole = count[row[at]] == size
+        g, at = g[whole], at[whole]
+    says = plain[at + size] - plain[at] >= min(LITERALS, size)
+    yield wa.mix(g[says] + np.uint64(size)), at[says]
+    if names:
+        return
+    exact, at = wa.windows(words, scanned.hash, size)  # without names no words are merged
+    if size < whole_below:
+        exact, at = exact[whole], at[whole]
+    if whole_below:
+        first = np.cumsum(count) - count
+        needed = ~says | (scanned.listed[at] & (at == first[row[at]]))
+        exact, at = exact[needed], at[needed]
+    yield wa.mix(exact + np.uint64(size) + EXACT), at
+
+
 def _windows(sizes: list[int], whole_below: int, bitmap: np.ndarray | None, bits: int):
     """Windows of texts, with names and without; with ``whole_below`` a text of fewer words is one window of its own."""
 
@@ -134,22 +164,15 @@ def _windows(sizes: list[int], whole_below: int, bitmap: np.ndarray | None, bits
                 for names in (True, False):
                     row, code, slot = template(scanned, names)
                     count = np.bincount(row, minlength=text.rows)
-                    words = wa.Words(row, row, row, count)
-                    plain = np.append(0, np.cumsum(slot == 0))
-                    for size in sizes:
-                        g, at = wa.windows(words, code, size)
-                        g = wa.mix(g + np.uint64(size))
-                        keep = plain[at + size] - plain[at] >= min(LITERALS, size)
-                        if size < whole_below:
-                            keep &= count[row[at]] == size
+                    first = np.cumsum(count) - count
+                    for size, g, at in ((n, *k) for n in sizes for k in _keys(scanned, names, row, code, slot, n, whole_below)):
                         if bitmap is not None:
                             low = (g & np.uint64((1 << bits) - 1)).astype(np.int64)
-                            keep &= (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-                        g, at = g[keep], at[keep]
+                            met = (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                            g, at = g[met], at[met]
                         if not len(g):
                             continue
                         slots = slot[at[:, None] + np.arange(size)].view(np.int64)
-                        first = np.cumsum(count) - count
                         yield pa.RecordBatch.from_arrays(
                             [
                                 carried.take(pa.array(row[at] + text.first)),

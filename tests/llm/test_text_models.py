@@ -222,6 +222,27 @@ def test_copies_in_running_text_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want
 
 
+POOR = [
+    "Compute 12 + 37 * 4 - 8 / 2",
+    "Barack Obama Met Angela Merkel In Berlin On Monday Morning",
+    "Multiply 45 by 46",
+    "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3",
+    "Ada Bell, Carl Dorn, Eva Falk, Gus Hahn, Ida Jung, Kai Lang",
+    "In 1990 Bonn And 1991 Berlin",
+]
+
+
+def test_items_poor_in_plain_words_are_found(spark):
+    around = [("", ""), ("the ", " Then"), ("see Paul ", " 7"), ("1) ", " and so on"), ('He said "', '" once')]
+    docs = [(10 * i + k, a + t + b) for i, t in enumerate(POOR) for k, (a, b) in enumerate(around)]
+    other = ["Compute 13 + 38 * 5 - 9 / 3", "Joe Biden Met Olaf Scholz In Paris On Friday Evening", "Multiply 45 by 47", "2 7 1 8 2 8 1 8 2 8 4 5 9 0 4 5"]
+    docs += [(1000 + i, t) for i, t in enumerate(other)]
+    bench = spark.createDataFrame(list(enumerate(POOR)), "item_id long, text string")
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(10 * i + k, i) for i in range(len(POOR)) for k in range(len(around))}
+    assert all(r.coverage > 0.5 for r in found)
+
+
 def test_planted_leaks_are_found(spark):
     docs = queries.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
