@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, jaccard_join, kneser_ney, language_id, mixing, quality_rules, sharding, token_counts, url_filter, warc
+from cohortlens.llm import (
+    decontamination,
+    jaccard_join,
+    kneser_ney,
+    language_id,
+    mixing,
+    packing,
+    quality_rules,
+    sharding,
+    token_alignment,
+    token_counts,
+    turn_repair,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +128,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(pages(spark, sf_dir)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op11_turn_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turn_repair.examine(talks, turn_repair.damage(talks))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned, _ = token_alignment.align(documents(spark, sf_dir))
+    return aligned.select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir))
+    return packed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
