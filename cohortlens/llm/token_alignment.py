@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from cohortlens.llm.token_counts import _byte_letters
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
-KNOWN = 150_000
+KNOWN = 300_000
 # A single space between visible characters is where texts may be cut; this finds all other spaces.
 UNSAFE = re.compile(r"\A | \Z| \s|\s ")
 
@@ -95,9 +96,12 @@ class Aligner:
                 self.bytes_b[i] = piece.replace("▁", " ").encode()
         self.width_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.width_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
+        self.table_a, self.table_b = (np.frombuffer(b"".join(x), dtype=np.uint8) for x in (self.bytes_a, self.bytes_b))
+        self.first_a, self.first_b = np.cumsum(self.width_a) - self.width_a, np.cumsum(self.width_b) - self.width_b
         order = sorted(range(self.size_b), key=self.b.is_byte, reverse=True)  # pieces stand above bytes
         known = {self.bytes_b[i]: i for i in order if self.bytes_b[i]}
         self.same = np.array([known.get(x, -1) for x in self.bytes_a], dtype=np.int64)
+        self.same_shown = np.array([f"{i}|{j}" for i, j in enumerate(self.same.tolist())], dtype=object)
         # Texts are cut before a space, so no piece may hold a space after something else.
         inner = re.compile(r"[^▁]▁")
         self.may_cut = not any(inner.search(self.b.id_to_piece(i)) for i in range(self.size_b))
@@ -108,16 +112,13 @@ class Aligner:
         """Encode chunks, each led by a space, and add their groups and links."""
         encoded_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
         encoded_b = self.b.encode(chunks, num_threads=1)
-        get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        bad = np.zeros(len(chunks), dtype=bool)
-        for i, (x, y, c) in enumerate(zip(encoded_a, encoded_b, chunks)):
-            whole = b" " + c.encode()
-            if not (b"".join(map(get_a, x)) == whole == b"".join(map(get_b, y))):
-                bad[i], encoded_a[i], encoded_b[i] = True, [], []
+        bad = self._bad(chunks, encoded_a, encoded_b)
+        for i in np.flatnonzero(bad).tolist():
+            encoded_a[i], encoded_b[i] = [], []
         n_a = np.array([len(x) for x in encoded_a], dtype=np.int64)
         n_b = np.array([len(y) for y in encoded_b], dtype=np.int64)
-        a = np.fromiter((i for x in encoded_a for i in x), dtype=np.int64, count=int(n_a.sum()))
-        b = np.fromiter((i for y in encoded_b for i in y), dtype=np.int64, count=int(n_b.sum()))
+        a = np.fromiter(chain.from_iterable(encoded_a), dtype=np.int64, count=int(n_a.sum()))
+        b = np.fromiter(chain.from_iterable(encoded_b), dtype=np.int64, count=int(n_b.sum()))
         # All chunks lie end to end: where tokens end, and where tokens of both end.
         end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
         both = np.intersect1d(end_a, end_b, assume_unique=True)
@@ -133,17 +134,48 @@ class Aligner:
         chunk_of_group = chunk_of_a[np.searchsorted(end_a, both)]
         n_groups = np.bincount(chunk_of_group, minlength=len(chunks))
         n_links = np.bincount(chunk_of_a[link_a], minlength=len(chunks))
-        # The text of a group, then of a chunk.
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        at_a, at_b = [0, *np.cumsum(size_a).tolist()], [0, *np.cumsum(size_b).tolist()]
-        groups = [
-            ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
-            for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])
-        ]
+        # The text of a group, then of a chunk; equal tokens have theirs at hand.
+        groups = np.empty(len(both), dtype=object)
+        groups[group[exact]] = self.same_shown[a[link_a[exact]]]
+        rest = np.ones(len(both), dtype=bool)
+        rest[group[exact]] = False
+        after_a, after_b = np.cumsum(size_a), np.cumsum(size_b)
+        rest = np.flatnonzero(rest)
+        sides = [(after_a[rest] - size_a[rest], after_a[rest], a), (after_b[rest] - size_b[rest], after_b[rest], b)]
+        texts = []
+        for low, high, ids in sides:
+            shown_ids = list(map(str, ids[_ragged(low, high - low)].tolist()))
+            at = [0, *np.cumsum(high - low).tolist()]
+            texts.append([",".join(shown_ids[i:j]) for i, j in zip(at, at[1:])])
+        groups[rest] = [f"{x}|{y}" for x, y in zip(*texts)]
+        groups = groups.tolist()
         at = [0, *np.cumsum(n_groups).tolist()]
         shown = [";".join(groups[i:j]).encode() for i, j in zip(at, at[1:])]
         into.add(n_a, n_b, n_groups, bad, n_links, pair, exact, shown)
 
+    def _bad(self, chunks: list[str], encoded_a: list[list[int]], encoded_b: list[list[int]]) -> np.ndarray:
+        """Chunks that one of the vocabularies does not give back byte by byte."""
+        whole = [b" " + c.encode() for c in chunks]
+        size = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+        bad = np.zeros(len(chunks), dtype=bool)
+        for encoded, width, table, first in (
+            (encoded_a, self.width_a, self.table_a, self.first_a),
+            (encoded_b, self.width_b, self.table_b, self.first_b),
+        ):
+            n = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+            ids = np.fromiter(chain.from_iterable(encoded), dtype=np.int64, count=int(n.sum()))
+            wrong = _sums(width[ids], n) != size
+            if wrong.any():
+                bad |= wrong
+            good = ~wrong
+            kept = ids[np.repeat(good, n)]
+            made = table[_ragged(first[kept], width[kept])]
+            want = np.frombuffer(b"".join(compress(whole, good.tolist())), dtype=np.uint8)
+            if not np.array_equal(made, want):
+                place = np.repeat(np.flatnonzero(good), size[good])
+                bad[place[made != want]] = True
+        return bad
+
     def chunks(self, text: str) -> list[str]:
         """Parts of a text without the space that leads each of them; none of them for an empty text."""
         if not text:
