@@ -42,8 +42,9 @@ from cohortlens.llm.token_counts import _byte_letters
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20
-KNOWN = 300_000
+BLOCK_BYTES = 2 << 20
+KNOWN = 100_000
+AT_ONCE = 10_000  # chunks that are encoded together
 # A single space between visible characters is where texts may be cut; this finds all other spaces.
 UNSAFE = re.compile(r"\A | \Z| \s|\s ")
 
@@ -110,7 +111,7 @@ class Aligner:
 
     def align(self, chunks: list[str], into: Links) -> None:
         """Encode chunks, each led by a space, and add their groups and links."""
-        encoded_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        encoded_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
         encoded_b = self.b.encode(chunks, num_threads=1)
         bad = self._bad(chunks, encoded_a, encoded_b)
         for i in np.flatnonzero(bad).tolist():
@@ -203,7 +204,8 @@ class Aligner:
         if fresh:
             first = len(self.index)
             self.index.update(zip(fresh, range(first, first + len(fresh))))
-            self.align(fresh, self.links)
+            for at in range(0, len(fresh), AT_ONCE):
+                self.align(fresh[at : at + AT_ONCE], self.links)
         index = self.index
         return [index[c] for p in parts for c in p], np.array([len(p) for p in parts], dtype=np.int64)
 
