@@ -136,7 +136,8 @@ def scan_metric_csv(spark: SparkSession, path: str, label: str, values: Mapping[
 
 
 def sink_best_params(best: DataFrame, path: str) -> None:
-    best.write.json(path)
+    """A repeated search replaces what an earlier one found."""
+    best.write.mode("overwrite").json(path)
 
 
 def model_path(root: str, task: str, model: str, seed: int) -> str:
