@@ -5,15 +5,17 @@ is one window. Two documents link when their sets' Jaccard similarity reaches a
 threshold. The join is exact: every link between different sets is found or already
 implied by verified links, and equal sets are one point.
 
-Method. Shingles are hashed into ``GROUPS`` groups, and a set is the point of its group
-counts. Two sets share at most the sum of coordinate minima, which bounds their
-similarity. Points of random texts lie close together in such a space, so one tree over
+Method. Shingles are hashed into groups, one for every one or two shingles of the set and
+``GROUPS`` at least, and a set is the point of its group counts. Two sets share at most
+the sum of coordinate minima, which bounds their similarity; neighbouring groups of the
+finer point are added up where two points differ in their number. Points of random texts lie close together in such a space, so one tree over
 all points would be scanned whole by every search; the index therefore has two levels.
 Its roots are single shingles in a common order, rarest first by a table of counts: linked
 sets share one of their first ``n - ceil(t n) + 1`` shingles, so they meet below a root.
-Below each root stands a packed R-tree over the points (leaves sorted by set size and
-counts, boxes with the largest counts and smallest set of their points), joined with
-itself; pairs that the bound lets pass are verified on the sets.
+Below each root stands a packed R-tree over the points, in ``GROUPS`` groups (leaves sorted
+by set size and counts, boxes with the largest counts and smallest set of their points),
+joined with itself; pairs that the bound lets pass there and in all groups of the points
+are verified on the sets.
 
 Large groups. Copies are one point. Below a root the first round asks only for a tree of
 the likeliest links of each leaf; the second round asks for pairs whose classes still
@@ -43,7 +45,9 @@ from cohortlens.llm import wordarrays as wa
 
 WORDS = 5
 GROUPS = 256
+MOST_BITS = 20  # of the number of groups
 FULL = 65_535  # a larger count makes the whole point pass the bound
+FULL_FINE = 255
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 POSTINGS_PER_PART = 1 << 20
@@ -84,9 +88,28 @@ def _identity(own: np.ndarray) -> tuple[int, int]:
 
 
 def _counts(own: np.ndarray) -> np.ndarray:
-    """How many shingles fall in each group."""
-    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
-    return (counts if counts.max() < FULL else np.full(GROUPS, FULL)).astype(np.uint16)
+    """How many shingles fall in each group, by the first bits of the shingles."""
+    bits = min(MOST_BITS, max(GROUPS.bit_length() - 1, (len(own) // 2).bit_length()))
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return (counts if counts.max() < FULL_FINE else np.full(1 << bits, FULL_FINE)).astype(np.uint8)
+
+
+def _coarse(fine: np.ndarray) -> np.ndarray:
+    """The same point in ``GROUPS`` groups."""
+    counts = fine.reshape(GROUPS, -1).sum(axis=1, dtype=np.int64)
+    full = fine[0] == FULL_FINE or counts.max() >= FULL
+    return (np.full(GROUPS, FULL) if full else counts).astype(np.uint16)
+
+
+def _passes_finely(x: np.ndarray, y: np.ndarray, total: int, percent: int) -> bool:
+    """Whether the bound lets a pair pass in as many groups as both points have."""
+    if len(x) == len(y) == GROUPS or x[0] == FULL_FINE or y[0] == FULL_FINE:
+        return True
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1, dtype=np.uint32)
+    return int(np.minimum(x, y).sum(dtype=np.int64)) * (100 + percent) >= percent * total
 
 
 def _slot(own: np.ndarray) -> np.ndarray:
@@ -280,12 +303,18 @@ class _Forest:
         return a != b
 
 
-def _passing(counts: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of two leaves that the bound lets pass, and how well."""
+def _passing(
+    counts: np.ndarray, n: np.ndarray, fine: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int,
+    wanted: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Wanted pairs of two leaves that the bound lets pass, and how well."""
     bound = np.minimum(counts[a][:, None, :], counts[b][None, :, :]).sum(axis=2, dtype=np.int64)
     bound[(counts[a][:, 0] == FULL)[:, None] | (counts[b][:, 0] == FULL)[None, :]] = 1 << 40
     total = n[a][:, None] + n[b][None, :]
-    i, j = np.nonzero(bound * (100 + percent) >= percent * total)
+    near = bound * (100 + percent) >= percent * total
+    i, j = np.nonzero(near if wanted is None else near & wanted)
+    keep = np.array([_passes_finely(fine[x], fine[y], t, percent) for x, y, t in zip(a[i], b[j], total[i, j].tolist())], dtype=bool)
+    i, j = i[keep], j[keep]
     return a[i], b[j], bound[i, j] / total[i, j]
 
 
@@ -295,8 +324,9 @@ def _leaves(counts: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
 
 
-def tree_pairs(counts: np.ndarray, n: np.ndarray, label: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def tree_pairs(fine: list[np.ndarray], n: np.ndarray, label: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Pairs below one root to verify: a likely tree, or with ``label`` all that still matter."""
+    counts = np.array([_coarse(x) for x in fine])
     leaves = _leaves(counts, n)
     out = []
     if label is None:
@@ -304,9 +334,7 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, label: np.ndarray | None, perc
         heads = [x[:1] for x in leaves]
         blocks = [(x, x) for x in leaves] + [(a, b) for a, b in zip(heads, heads[1:])]
         for a, b in blocks:
-            i, j, score = _passing(counts, n, a, b, percent)
-            one = i < j if a is b else i != j
-            i, j, score = i[one], j[one], score[one]
+            i, j, score = _passing(counts, n, fine, a, b, percent, a[:, None] < b[None, :] if a is b else a[:, None] != b[None, :])
             for k in np.argsort(-score, kind="stable"):
                 if forest.join(int(i[k]), int(j[k])):
                     out.append((int(i[k]), int(j[k])))
@@ -321,11 +349,11 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, label: np.ndarray | None, perc
         near &= (alone[p:] == 0) | (alone[p:] != alone[p])
         for q in np.flatnonzero(near) + p:
             b = leaves[q]
-            i, j, _ = _passing(counts, n, a, b, percent)
-            one = label[i] != label[j]
+            open_pairs = label[a][:, None] != label[b][None, :]
             if q == p:
-                one &= i < j
-            out += zip(i[one].tolist(), j[one].tolist())
+                open_pairs &= a[:, None] < b[None, :]
+            i, j, _ = _passing(counts, n, fine, a, b, percent, open_pairs)
+            out += zip(i.tolist(), j.tolist())
     return out
 
 
@@ -336,14 +364,13 @@ def _candidates(percent: int, labelled: bool):
         root = root[order]
         ids, n = group.column("id").to_numpy()[order], group.column("n").to_numpy()[order]
         label = group.column("label").to_numpy()[order] if labelled else None
-        vectors = [group.column("counts")[int(i)].as_py() for i in order]
+        vectors = [np.frombuffer(group.column("counts")[int(i)].as_py(), dtype=np.uint8) for i in order]
         first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
         a, b = [], []
         for s, e in zip(first, np.append(first[1:], len(root))):
             if labelled and (label[s:e] == label[s]).all():
                 continue
-            counts = np.frombuffer(b"".join(vectors[s:e]), dtype=np.uint16).reshape(e - s, GROUPS)
-            for i, j in tree_pairs(counts, n[s:e], label[s:e] if labelled else None, percent):
+            for i, j in tree_pairs(vectors[s:e], n[s:e], label[s:e] if labelled else None, percent):
                 x, y = ids[s + i], ids[s + j]
                 a.append(min(x, y))
                 b.append(max(x, y))

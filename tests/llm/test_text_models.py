@@ -326,6 +326,21 @@ def test_bound_never_hides_a_link():
         assert pairs or not linked
 
 
+def test_finer_groups_part_long_sets_that_share_half():
+    r = np.random.default_rng(9)
+    draw = lambda k: r.integers(0, 2**64, k, dtype=np.uint64)
+    for size in (300, 700, 1600, 5000, 20_000):
+        shared = draw(size // 2)
+        sets = [np.unique(np.concatenate([shared, draw(size // 2 + k)])) for k in range(0, 60, 10)]
+        near = np.unique(np.concatenate([sets[0][: size * 9 // 10], draw(size // 40)]))
+        fine = [jaccard_join._counts(x) for x in [*sets, near]]
+        n = np.array([len(x) for x in [*sets, near]])
+        assert jaccard_join.tree_pairs(fine, n, np.arange(len(n)), 75) == [(0, len(sets))]
+    full = np.full(70_000, 5, dtype=np.uint64)  # one group that overflows
+    fine = [jaccard_join._counts(full), jaccard_join._counts(full[:-9])]
+    assert jaccard_join.tree_pairs(fine, np.array([70_000, 69_991]), np.arange(2), 75) == [(0, 1)]
+
+
 def test_one_of_each_class_stays(edges, nothing):
     kept = jaccard_join.keep_one(edges)
     assert kept.columns == edges.columns
