@@ -1,13 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
 Symbols are characters: letters in lower case, digits as one, white space as one blank,
-and every character is predicted from the two before it. Trigram counts of all trusted
-text, continuation counts and context totals are tables that Spark shards by key; no
-task or driver holds the model. Documents are dealt into blocks of bounded size by hash;
-a block asks for its distinct trigrams, the distinct requests meet the count tables in
-joins, and each block reads its answers to score its documents. A document is kept when
-its perplexity is at most ``SLACK`` times a quantile of the trusted texts of its language
-(of all trusted texts for a language without any).
+and every character is predicted from the ``order - 1`` before it. A key holds ``order``
+symbols of ``63 // order`` bits; characters that need more bits share classes (at order 5
+those from U+1000 on, at order 3 none). Counts of all trusted text, continuation counts and
+context totals are tables that Spark shards by key; no task or driver holds the model.
+
+Texts are folded where they are read and written once, compressed, in lots of bounded size
+next to the distinct keys each lot asks for. Labels meet doc_ids and places in a lot, not
+texts. The distinct keys meet the count tables in joins, one order at a time, and each lot
+reads its answers to score its documents. A document is kept when its perplexity is at most
+a quantile of the trusted texts of its language (of all trusted texts for a language without
+any); rows of one perplexity are ranked by a hash of their doc_id.
 
 Edge cases: a null or empty text has no perplexity and is not kept; a null language is a
 language of its own; rows with null or repeated doc_ids are scored like any others, but
@@ -18,27 +22,34 @@ empty; an empty table gives an empty table; other columns are carried in a struc
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens import storage
 from cohortlens.llm import wordarrays as wa
 from cohortlens.operators import ordering
 
-BITS = 21  # of a code point; three of them are one key
-MASK = (1 << BITS) - 1
+ORDER = 5
 START = 1
-BLOCK_BYTES = 8 << 20
-QUANTILE = 0.99
-SLACK = 1.6
+LOT_SYMBOLS = 32 << 20
+LOT_ROWS = 20_000
+QUANTILE = 0.998
+CODEC = pa.Codec("zstd", compression_level=6)
 
 _folded = np.full(0x110000, -1, dtype=np.int64)
 
 
+def width(order: int) -> int:
+    """Bits of a symbol in a key."""
+    return 63 // order
+
+
 def _fold(point: int) -> int:
     c = chr(point)
     if c.isalpha():
@@ -46,8 +57,8 @@ def _fold(point: int) -> int:
     return 32 if c.isspace() else 48 if c.isdigit() else max(point, 2)
 
 
-def trigrams(text: wa.Text) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each character with the two before it, and where rows start."""
+def symbols(text: wa.Text, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each character, and where rows start."""
     points = np.frombuffer(text.data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     starts = np.append(0, np.cumsum((text.data & 0xC0) != 0x80))[text.offsets]
     c = _folded[points]
@@ -55,14 +66,104 @@ def trigrams(text: wa.Text) -> tuple[np.ndarray, np.ndarray]:
         for point in np.unique(points[c < 0]).tolist():
             _folded[point] = _fold(point)
         c = _folded[points]
-    n = len(c)
-    one, two = np.full(n, START, dtype=np.int64), np.full(n, START, dtype=np.int64)
-    one[1:], two[2:] = c[:-1], c[:-2]
-    first = starts[:-1][starts[:-1] < starts[1:]]
-    one[first] = two[first] = START
-    second = starts[:-1][starts[:-1] + 1 < starts[1:]] + 1
-    two[second] = START
-    return (two << (2 * BITS)) | (one << BITS) | c, starts
+    half = 1 << (width(order) - 1)
+    return np.where(c < 2 * half, c, half | (c & (half - 1))), starts
+
+
+def grams(codes: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """The key of each symbol with those before it in its row."""
+    place = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
+    key = codes.copy()
+    for back in range(1, min(order, len(codes) + 1)):
+        before = np.full(len(codes), START, dtype=np.int64)
+        before[back:] = codes[:-back]
+        before[place < back] = START
+        key |= before << (back * width(order))
+    for back in range(len(codes) + 1, order):
+        key |= START << (back * width(order))
+    return key
+
+
+class Lot:
+    """Folded documents of one task, compressed together."""
+
+    def __init__(self, order: int):
+        self.order = order
+        self.rows: list[pa.Array] = []
+        self.lengths: list[np.ndarray] = []
+        self.bodies: list[bytes] = []
+        self.keys: list[np.ndarray] = []
+        self.n_symbols = self.n_rows = 0
+
+    def add(self, rows: pa.Array, codes: np.ndarray, starts: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.lengths.append(np.diff(starts))
+        self.bodies.append(codes.astype(np.uint32).tobytes().decode("utf-32-le").encode("utf-8"))
+        self.keys.append(np.unique(grams(codes, starts, self.order)))
+        if len(self.keys) >= 8:
+            self.keys = [np.unique(np.concatenate(self.keys))]
+        self.n_symbols += len(codes)
+        self.n_rows += len(rows)
+
+    def full(self) -> bool:
+        return self.n_symbols >= LOT_SYMBOLS or self.n_rows >= LOT_ROWS
+
+    def close(self, number: int) -> pa.RecordBatch:
+        body = b"".join(self.bodies)
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values)
+        columns = {
+            "lot": pa.array([number]),
+            "rows": one(pa.concat_arrays(self.rows)),
+            "lengths": one(pa.array(np.concatenate(self.lengths).astype(np.int64))),
+            "size": pa.array([len(body)]),
+            "body": pa.array([CODEC.compress(body, asbytes=True)], type=pa.binary()),
+            "keys": one(pa.array(np.unique(np.concatenate(self.keys)))),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _deal(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        lot = Lot(order)
+        for batch in batches:
+            for text in wa.slices(batch.column("text")):
+                lot.add(batch.column("row").slice(text.first, text.rows), *symbols(text, order))
+                if lot.full():
+                    yield lot.close(number)
+                    number, lot = number + 1, Lot(order)
+        if lot.n_rows:
+            yield lot.close(number)
+
+    return run
+
+
+def deal(docs: DataFrame, keep: Sequence[str | Column], text: str = "text", order: int = ORDER) -> DataFrame:
+    """Lots of folded documents, written once without a shuffle; ``rows`` holds the kept columns."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in keep]
+    named = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    schema = T.StructType(
+        [
+            T.StructField("lot", T.LongType()),
+            T.StructField("rows", T.ArrayType(named.schema["row"].dataType)),
+            T.StructField("lengths", T.ArrayType(T.LongType())),
+            T.StructField("size", T.LongType()),
+            T.StructField("body", T.BinaryType()),
+            T.StructField("keys", T.ArrayType(T.LongType())),
+        ]
+    )
+    return storage.materialize(named.mapInArrow(_deal(order), schema), "kn_lots")
+
+
+def _opened(size: int, body: bytes, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Symbols and row starts of a lot, some rows at a time, and the first row's place."""
+    points = np.frombuffer(CODEC.decompress(body, size, asbytes=True).decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    at = np.append(0, np.cumsum(lengths))
+    first = 0
+    while first < len(lengths):
+        last = max(int(np.searchsorted(at, at[first] + wa.SLICE_BYTES, side="right")) - 1, first + 1)
+        yield points[at[first] : at[last]].astype(np.int64), at[first : last + 1] - at[first], first
+        first = last
 
 
 def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -72,19 +173,26 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
     return [(own, np.bincount(inverse, weights=counts, minlength=len(own)).astype(np.int64))]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of a task's texts."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for text in wa.slices(batch.column(0)):
-            keys, _ = trigrams(text)
-            if len(keys):
-                parts.append(np.unique(keys, return_counts=True))
-            if len(parts) >= 16:
-                parts = _tally(parts)
-    if parts:
-        keys, counts = _tally(parts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+def _count(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of keys in the chosen rows of a task's lots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lengths = batch.column("lengths")[i].values.to_numpy()
+                chosen = np.zeros(len(lengths), dtype=bool)
+                chosen[batch.column("chosen")[i].values.to_numpy()] = True
+                for codes, starts, first in _opened(batch.column("size")[i].as_py(), batch.column("body")[i].as_py(), lengths):
+                    own = np.repeat(chosen[first : first + len(starts) - 1], np.diff(starts))
+                    parts.append(np.unique(grams(codes, starts, order)[own], return_counts=True))
+                    if len(parts) >= 16:
+                        parts = _tally(parts)
+        if parts:
+            keys, counts = _tally(parts)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+    return run
 
 
 def _context(rows: DataFrame, context: str) -> DataFrame:
@@ -117,105 +225,102 @@ def _level(n: Column, ctx: str, d: list[float], lower: Column) -> Column:
 
 
 class Model:
-    """Count tables of three orders, written to the shared folder."""
-
-    def __init__(self, trusted: DataFrame):
-        counted = trusted.select("text").mapInArrow(_count, "key long, n long")
-        third = counted.groupBy("key").agg(F.sum("n").alias("n"))
-        self.third = storage.materialize(third.withColumn("ab", F.shiftright("key", BITS)), "kn_third")
-        second = self.third.groupBy(F.col("key").bitwiseAND((1 << 2 * BITS) - 1).alias("bc")).agg(F.count("*").alias("n"))
-        self.second = storage.materialize(second.withColumn("b", F.shiftright("bc", BITS)), "kn_second")
-        first = self.second.groupBy(F.col("bc").bitwiseAND(MASK).alias("c")).agg(F.count("*").alias("n"))
-        self.first = storage.materialize(first, "kn_first")
-        self.discounts = [_discounts(x) for x in (self.first, self.second, self.third)]
-        whole = _context(self.first.withColumn("all", F.lit(0)), "all").first()
-        self.whole = whole
-        self.symbols = self.first.count()
-
-    def probabilities(self, keys: DataFrame) -> DataFrame:
-        """(key, logp) for distinct trigrams."""
-        d1, d2, d3 = self.discounts
-        rows = keys.select(
-            "key",
-            F.shiftright("key", BITS).alias("ab"),
-            F.col("key").bitwiseAND((1 << 2 * BITS) - 1).alias("bc"),
-            F.shiftright("key", BITS).bitwiseAND(MASK).alias("b"),
-            F.col("key").bitwiseAND(MASK).alias("c"),
-        )
-        named = lambda df, key, name: df.select(key, *[F.col(x).alias(f"{name}_{x}") for x in ("total", "n1", "n2", "n3")])
-        rows = rows.join(self.third.select("key", F.col("n").alias("third")), "key", "left")
-        rows = rows.join(named(_context(self.third, "ab"), "ab", "ab"), "ab", "left")
-        rows = rows.join(self.second.select("bc", F.col("n").alias("second")), "bc", "left")
-        rows = rows.join(named(_context(self.second, "b"), "b", "b"), "b", "left")
-        rows = rows.join(self.first.select("c", F.col("n").alias("first")), "c", "left")
-        w = self.whole
-        n = F.coalesce("first", F.lit(0)).cast("double")
-        left = w.n1 * d1[0] + w.n2 * d1[1] + w.n3 * d1[2]
-        unigram = (n - _taken(n, d1) + left / (self.symbols + 1)) / float(w.total)
-        bigram = _level(F.col("second"), "b", d2, unigram)
-        trigram = _level(F.col("third"), "ab", d3, bigram)
-        return rows.select("key", F.log(trigram).alias("logp"))
-
-
-def _requests(group: pa.Table) -> pa.Table:
-    keys = []
-    for chunk in group.column("text").chunks:
-        for text in wa.slices(chunk):
-            keys.append(np.unique(trigrams(text)[0]))
-    own = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-    block = group.column("block")[0].as_py()
-    return pa.table({"block": pa.array(np.full(len(own), block, dtype=np.int64)), "key": pa.array(own)})
-
-
-def _answers(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """Characters and summed log probability of each document of a block."""
-    keys, logp = answers.column("key").to_numpy(), answers.column("logp").to_numpy()
-    order = np.argsort(keys)
-    keys, logp = keys[order], logp[order]
-    n, total = [], []
-    for chunk in texts.column("text").chunks:
-        for text in wa.slices(chunk):
-            own, starts = trigrams(text)
-            value = np.append(0.0, np.cumsum(logp[np.searchsorted(keys, own)])) if len(own) else np.zeros(1)
-            n.append(np.diff(starts))
-            total.append(value[starts[1:]] - value[starts[:-1]])
-    joined = [np.concatenate(x) if x else np.zeros(0) for x in (n, total)]
-    return pa.table(
-        {"row": texts.column("row"), "n_symbols": pa.array(joined[0].astype(np.int64)), "logp": pa.array(joined[1].astype(np.float64))}
-    )
+    """Count tables of all orders, written to the shared folder.
 
+    ``lots`` are dealt documents, ``chosen`` the places (lot, chosen) of trusted ones in them.
+    """
 
-def perplexities(docs: DataFrame, model: Model, keep: Sequence[str | Column], text: str = "text") -> DataFrame:
-    """Struct ``row`` of kept columns and ``perplexity`` of each document.
+    def __init__(self, lots: DataFrame, chosen: DataFrame, order: int = ORDER):
+        self.order, self.bits = order, width(order)
+        texts = lots.select("lot", "lengths", "size", "body").join(chosen, "lot")
+        counted = texts.mapInArrow(_count(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        self.tables = {}
+        for k in range(order, 0, -1):
+            if k < order:
+                counted = self.tables[k + 1].groupBy(self._last("key", k).alias("key")).agg(F.count("*").alias("n"))
+            self.tables[k] = storage.materialize(counted.withColumn("context", F.shiftright("key", self.bits)), f"kn_{k}")
+        self.discounts = {k: _discounts(table) for k, table in self.tables.items()}
+        self.whole = _context(self.tables[1], "context").first()
+        self.symbols = self.tables[1].count()
+
+    def _last(self, key: str, k: int) -> Column:
+        """The key of the last ``k`` symbols."""
+        return F.col(key).bitwiseAND(F.lit((1 << k * self.bits) - 1))
+
+    def _order(self, keys: DataFrame, k: int) -> DataFrame:
+        """(key, p) of the distinct last ``k`` symbols of distinct keys."""
+        d = self.discounts[k]
+        own = keys if k == self.order else keys.select(self._last("key", k).alias("key")).distinct()
+        rows = own.join(self.tables[k].select("key", "n"), "key", "left")
+        if k == 1:
+            w = self.whole
+            n = F.coalesce("n", F.lit(0)).cast("double")
+            left = w.n1 * d[0] + w.n2 * d[1] + w.n3 * d[2]
+            return rows.select("key", ((n - _taken(n, d) + left / (self.symbols + 1)) / float(w.total)).alias("p"))
+        context = _context(self.tables[k], "context")
+        context = context.select("context", *[F.col(x).alias(f"context_{x}") for x in ("total", "n1", "n2", "n3")])
+        rows = rows.withColumn("context", F.shiftright("key", self.bits)).join(context, "context", "left")
+        lower = self._order(keys, k - 1).select(F.col("key").alias("last"), F.col("p").alias("lower"))
+        rows = rows.withColumn("last", self._last("key", k - 1)).join(lower, "last")
+        return rows.select("key", _level(F.col("n"), "context", d, F.col("lower")).alias("p"))
 
-    Both uses of the blocks read one shuffle of the texts.
-    """
-    columns = [F.col(c) if isinstance(c, str) else c for c in keep]
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    blocks = max(8, size // BLOCK_BYTES + 1)
-    named = docs.select(F.struct(*columns).alias("row"), body.alias("text"))
-    block = F.pmod(F.xxhash64("row", "text"), F.lit(blocks))
-    dealt = named.withColumn("block", block).repartition(int(blocks), "block")
-    asked = dealt.groupBy("block").applyInArrow(_requests, "block long, key long")
-    asked = storage.materialize(asked, "kn_requests")
-    known = model.probabilities(asked.select("key").distinct())
-    answers = asked.join(known, "key")
-    row_type = dealt.schema["row"].dataType.simpleString()
-    scored = (
-        dealt.groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(_answers, f"row {row_type}, n_symbols long, logp double")
+    def probabilities(self, keys: DataFrame) -> DataFrame:
+        """(key, logp) for distinct keys."""
+        return self._order(keys.select("key"), self.order).select("key", F.log("p").alias("logp"))
+
+
+def _answers(order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Characters and summed log probability of each document of a lot."""
+
+    def run(lots: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, logp = answers.column("key").to_numpy(), answers.column("logp").to_numpy()
+        by_key = np.argsort(keys)
+        keys, logp = keys[by_key], logp[by_key]
+        rows, n, total = [], [], []
+        for i in range(lots.num_rows):
+            rows.append(lots.column("rows")[i].values)
+            lengths = lots.column("lengths")[i].values.to_numpy()
+            n.append(lengths)
+            for codes, starts, _ in _opened(lots.column("size")[i].as_py(), lots.column("body")[i].as_py(), lengths):
+                own = logp[np.searchsorted(keys, grams(codes, starts, order))] if len(codes) else np.zeros(0)
+                value = np.append(0.0, np.cumsum(own))
+                total.append(value[starts[1:]] - value[starts[:-1]])
+        return pa.table({"row": pa.concat_arrays(rows), "n_symbols": pa.array(np.concatenate(n)), "logp": pa.array(np.concatenate(total))})
+
+    return run
+
+
+def perplexities(lots: DataFrame, model: Model) -> DataFrame:
+    """Struct ``row`` of kept columns and ``perplexity`` of each document of dealt lots."""
+    asked = lots.select(F.col("lot").alias("asking"), F.explode("keys").alias("key"))
+    known = storage.materialize(model.probabilities(storage.materialize(asked.select("key").distinct(), "kn_keys")), "kn_known")
+    row_type = T.StructType(
+        [
+            T.StructField("row", lots.schema["rows"].dataType.elementType),
+            T.StructField("n_symbols", T.LongType()),
+            T.StructField("logp", T.DoubleType()),
+        ]
     )
+    texts = lots.select("lot", "rows", "lengths", "size", "body")
+    # A lot whose texts are all empty asks for nothing and meets no answers.
+    scored = texts.groupBy("lot").cogroup(asked.join(known, "key").groupBy("asking")).applyInArrow(_answers(model.order), row_type)
     return scored.select("row", F.when(F.col("n_symbols") > 0, F.exp(-F.col("logp") / F.col("n_symbols"))).alias("perplexity"))
 
 
+def places(lots: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(lot, chosen): where documents of these ids lie; only ids and places are shuffled."""
+    each = lots.select("lot", F.posexplode(F.col(f"rows.{doc_id}")).alias("place", "id"))
+    found = each.join(ids.toDF("good_id"), F.col("id") == F.col("good_id"), "left_semi")
+    return found.groupBy("lot").agg(F.collect_list("place").alias("chosen"))
+
+
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(lang_key, threshold): an exact quantile per language, and one of all for ``*``."""
     rows = scored.filter(F.col("perplexity").isNotNull()).select(
         F.explode(F.array("lang_key", F.lit("*"))).alias("lang_key"), "perplexity", "tie"
     )
-    levels = ordering.score_levels(F.col("perplexity"))
+    # A perplexity is at least one; its inverse falls from one to zero.
+    levels = ordering.falling_levels(1 / F.col("perplexity"))
     rank = {"q": lambda n: F.greatest(F.ceil(n * F.lit(quantile)), F.lit(1))}
     cut = ordering.nth_rows(rows, ["lang_key"], levels, ["perplexity", "tie"], rank)
     return cut.groupBy("lang_key").agg(F.max("perplexity").alias("threshold"))
@@ -228,7 +333,7 @@ def classify(
     text: str = "text",
     lang: str = "lang",
     quantile: float = QUANTILE,
-    slack: float = SLACK,
+    order: int = ORDER,
 ) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of each document.
 
@@ -237,20 +342,20 @@ def classify(
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     good = good.select(F.col("doc_id").alias("good_id")).distinct()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
-    trusted = rows.filter(F.length("text") > 0).join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
-    model = Model(trusted)
+    lots = deal(rows, ["doc_id", "lang"], order=order)
+    model = Model(lots, places(lots, good), order)
     if not model.symbols:
         return rows.select(
             "doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"),
             (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("kept"),
         )
-    scored = perplexities(rows, model, ["doc_id", "lang"]).select(
+    scored = perplexities(lots, model).select(
         "row.doc_id", "row.lang", F.coalesce(F.concat(F.lit("="), "row.lang"), F.lit("")).alias("lang_key"), "perplexity"
     )
     scored = storage.materialize(scored, "kn_scored")
     sure = scored.join(good, F.col("doc_id") == F.col("good_id"), "left_semi").withColumn("tie", F.xxhash64("doc_id"))
     cuts = storage.materialize(thresholds(sure, quantile), "kn_thresholds")
     overall = cuts.filter(F.col("lang_key") == "*").agg(F.max("threshold")).first()[0]
-    judged = scored.join(cuts, "lang_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall)) * slack)
+    judged = scored.join(cuts, "lang_key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall)))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     return judged.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))

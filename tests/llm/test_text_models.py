@@ -91,12 +91,13 @@ def test_tokens_of_odd_strings():
 # Kneser-Ney
 
 
-def plain_model(texts):
+def plain_model(texts, order=3):
     fold = lambda c: c.lower()[0] if c.isalpha() else " " if c.isspace() else "0" if c.isdigit() else c
-    grams = lambda t: [tuple(("\1\1" + "".join(map(fold, t)))[i : i + 3]) for i in range(len(t))]
-    c3 = Counter(g for t in texts for g in grams(t))
-    c2 = Counter(g[1:] for g in c3)
-    c1 = Counter(g[1:] for g in c2)
+    grams = lambda t: [tuple(("\1" * (order - 1) + "".join(map(fold, t)))[i : i + order]) for i in range(len(t))]
+    counts = [Counter(g for t in texts for g in grams(t))]
+    for _ in range(order - 1):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    c1 = counts[0]
 
     def discount(c):
         n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
@@ -107,7 +108,7 @@ def plain_model(texts):
         return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
     levels = []
-    for c in (c1, c2, c3):
+    for c in counts:
         d = discount(c)
         total, left = Counter(), Counter()
         for g, n in c.items():
@@ -118,7 +119,7 @@ def plain_model(texts):
     def p(g):
         value = 1 / (len(c1) + 1)
         for k, (c, d, total, left) in enumerate(levels, start=1):
-            own = g[3 - k :]
+            own = g[order - k :]
             if total[own[:-1]]:
                 n = c[own]
                 value = (n - (d[min(n, 3) - 1] if n else 0) + left[own[:-1]] * value) / total[own[:-1]]
@@ -127,28 +128,53 @@ def plain_model(texts):
     return lambda t: math.exp(-sum(math.log(p(g)) for g in grams(t)) / len(t))
 
 
-def test_perplexities(spark, edges):
-    trusted = edges.filter("length(text) between 1 and 5000 and doc_id >= 100").select("text")
-    want = plain_model([r.text for r in trusted.collect()])
+def lots_and_model(docs, trusted, keep, order):
+    lots = kneser_ney.deal(docs, [F.struct(*keep).alias("own"), trusted.alias("sure")], order=order)
+    chosen = lots.select("lot", F.posexplode("rows.sure").alias("place", "sure")).filter("sure")
+    return lots, kneser_ney.Model(lots, chosen.groupBy("lot").agg(F.collect_list("place").alias("chosen")), order)
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_perplexities(spark, edges, order):
+    trusted = F.expr("coalesce(length(text) between 1 and 5000 and doc_id >= 100, false)")
     some = edges.filter("text is null or length(text) < 3000")
-    rows = kneser_ney.perplexities(some, kneser_ney.Model(trusted), ["doc_id", "text", "size"]).collect()
+    want = plain_model([r.text for r in some.filter(trusted).collect()], order)
+    lots, model = lots_and_model(some, trusted, ["doc_id", "text", "size"], order)
+    rows = kneser_ney.perplexities(lots, model).select("row.own.*", "perplexity").collect()
     assert len(rows) == some.count()
     for r in rows:
-        if r.row.text:
-            assert r.perplexity == pytest.approx(want(r.row.text), rel=1e-9)
+        if r.text:
+            assert r.perplexity == pytest.approx(want(r.text), rel=1e-9)
         else:
             assert r.perplexity is None
 
 
-def test_probabilities_sum_to_one(edges):
-    model = kneser_ney.Model(edges.filter("doc_id >= 100").select("text"))
-    symbols = [r.c for r in model.first.collect()]
-    contexts = [(a, b) for a in symbols[:3] for b in symbols[:5]]
-    keys = [((a << 42) | (b << 21) | c,) for a, b in contexts for c in [*symbols, 0x1F600]]
+@pytest.mark.parametrize("order", [3, 5])
+def test_probabilities_sum_to_one(edges, order):
+    _, model = lots_and_model(edges, F.expr("coalesce(doc_id >= 100, false)"), ["doc_id"], order)
+    bits = kneser_ney.width(order)
+    symbols = [r.key for r in model.tables[1].collect()]
+    contexts = [r.context for r in model.tables[order].select("context").distinct().orderBy("context").limit(10).collect()] + [symbols[0]]
+    keys = [((context << bits) | c,) for context in contexts for c in [*symbols, 4000]]
     total = defaultdict(float)
     for r in model.probabilities(edges.sparkSession.createDataFrame(keys, "key long")).collect():
-        total[r.key >> 21] += math.exp(r.logp)
-    assert all(v == pytest.approx(1.0) for v in total.values())
+        total[r.key >> bits] += math.exp(r.logp)
+    assert len(total) == len(contexts) and all(v == pytest.approx(1.0) for v in total.values())
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_keys_of_short_and_empty_rows(order):
+    texts = ["", "a", "", "Ab9", "中" * 7, ""]
+    bits, out = kneser_ney.width(order), []
+    fold = {"A": "a", "9": "0"}
+    for t in texts:
+        codes = [kneser_ney.START] * (order - 1) + [ord(fold.get(c, c)) for c in t]
+        codes = [c if c < 1 << bits else 1 << (bits - 1) | c & ((1 << (bits - 1)) - 1) for c in codes]
+        out += [sum(c << bits * (order - 1 - j) for j, c in enumerate(codes[i : i + order])) for i in range(len(t))]
+    text = next(wordarrays.slices(pa.array(texts)))
+    assert kneser_ney.grams(*kneser_ney.symbols(text, order), order).tolist() == out
+    single = next(wordarrays.slices(pa.array(["", "x"])))
+    assert len(kneser_ney.grams(*kneser_ney.symbols(single, order), order)) == 1
 
 
 def test_quality_verdicts(spark, edges, nothing):
