@@ -8,8 +8,9 @@ context totals are tables that Spark shards by key; no task or driver holds the
 
 Texts are folded where they are read and written once, compressed, in lots of bounded size
 next to the distinct keys each lot asks for. Labels meet doc_ids and places in a lot, not
-texts. The distinct keys meet the count tables in joins, one order at a time, and each lot
-reads its answers to score its documents. A document is kept when its perplexity is at most
+texts. The distinct keys meet the count tables in joins, one order at a time. The keys a lot
+asks for are cut by remainder into pieces that travel compressed; a piece of all lots meets
+its part of the answers in one task of bounded size, and only values travel back to the lots. A document is kept when its perplexity is at most
 a quantile of the trusted texts of its language (of all trusted texts for a language without
 any); rows of one perplexity are ranked by a hash of their doc_id.
 
@@ -39,6 +40,7 @@ ORDER = 5
 START = 1
 LOT_SYMBOLS = 32 << 20
 LOT_ROWS = 20_000
+PIECE_KEYS = 2_000_000  # asked for by all lots in a piece, about
 QUANTILE = 0.998
 CODEC = pa.Codec("zstd", compression_level=6)
 
@@ -84,6 +86,23 @@ def grams(codes: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    return CODEC.compress(values.tobytes(), asbytes=True)
+
+
+def restored(body: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(CODEC.decompress(body, 8 * n, asbytes=True), dtype=kind)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    return squeezed(np.diff(keys, prepend=0))
+
+
+def unpacked(body: bytes, n: int) -> np.ndarray:
+    return np.cumsum(restored(body, n, np.int64))
+
+
 class Lot:
     """Folded documents of one task, compressed together."""
 
@@ -110,6 +129,7 @@ class Lot:
 
     def close(self, number: int) -> pa.RecordBatch:
         body = b"".join(self.bodies)
+        keys = np.unique(np.concatenate(self.keys))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values)
         columns = {
             "lot": pa.array([number]),
@@ -117,7 +137,8 @@ class Lot:
             "lengths": one(pa.array(np.concatenate(self.lengths).astype(np.int64))),
             "size": pa.array([len(body)]),
             "body": pa.array([CODEC.compress(body, asbytes=True)], type=pa.binary()),
-            "keys": one(pa.array(np.unique(np.concatenate(self.keys)))),
+            "n_keys": pa.array([len(keys)]),
+            "keys": pa.array([packed(keys)], type=pa.binary()),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -149,7 +170,8 @@ def deal(docs: DataFrame, keep: Sequence[str | Column], text: str = "text", orde
             T.StructField("lengths", T.ArrayType(T.LongType())),
             T.StructField("size", T.LongType()),
             T.StructField("body", T.BinaryType()),
-            T.StructField("keys", T.ArrayType(T.LongType())),
+            T.StructField("n_keys", T.LongType()),
+            T.StructField("keys", T.BinaryType()),
         ]
     )
     return storage.materialize(named.mapInArrow(_deal(order), schema), "kn_lots")
@@ -269,21 +291,68 @@ class Model:
         return self._order(keys.select("key"), self.order).select("key", F.log("p").alias("logp"))
 
 
-def _answers(order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of each lot."""
+    for batch in batches:
+        for n, body in zip(batch.column("n_keys").to_pylist(), batch.column("keys").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(body, n))], ["key"])
+
+
+def _cut(pieces: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each lot's keys, cut by remainder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot, n, body in zip(*(batch.column(c).to_pylist() for c in ("lot", "n_keys", "keys"))):
+                keys = unpacked(body, n)
+                piece = keys % pieces
+                order = np.argsort(piece, kind="stable")
+                own, first = np.unique(piece[order], return_index=True)
+                parts = np.split(keys[order], first[1:]) if len(own) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own),
+                        pa.array(np.full(len(own), lot, dtype=np.int64)),
+                        pa.array(np.array([len(x) for x in parts], dtype=np.int64)),
+                        pa.array([packed(x) for x in parts], type=pa.binary()),
+                    ],
+                    ["piece", "asking", "n", "keys"],
+                )
+
+    return run
+
+
+def _look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Values of the keys that each lot asks for in a piece, in the order of the keys."""
+    keys, logp = known.column("key").to_numpy(), known.column("logp").to_numpy()
+    by_key = np.argsort(keys)
+    keys, logp = keys[by_key], logp[by_key]
+    values = [
+        squeezed(logp[np.searchsorted(keys, unpacked(body, n))])
+        for n, body in zip(asked.column("n").to_pylist(), asked.column("keys").to_pylist())
+    ]
+    return pa.table({"piece": asked.column("piece"), "asking": asked.column("asking"), "logp": pa.array(values, type=pa.binary())})
+
+
+def _score(order: int, pieces: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Characters and summed log probability of each document of a lot."""
 
     def run(lots: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, logp = answers.column("key").to_numpy(), answers.column("logp").to_numpy()
-        by_key = np.argsort(keys)
-        keys, logp = keys[by_key], logp[by_key]
         rows, n, total = [], [], []
         for i in range(lots.num_rows):
             rows.append(lots.column("rows")[i].values)
             lengths = lots.column("lengths")[i].values.to_numpy()
             n.append(lengths)
+            keys = unpacked(lots.column("keys")[i].as_py(), lots.column("n_keys")[i].as_py())
+            logp = np.full(len(keys), np.nan)
+            by_piece = np.argsort(keys % pieces, kind="stable")
+            at = np.append(0, np.cumsum(np.bincount(keys % pieces, minlength=pieces)))
+            for piece, body in zip(answers.column("piece").to_pylist(), answers.column("logp").to_pylist()):
+                own = by_piece[at[piece] : at[piece + 1]]
+                logp[own] = restored(body, len(own), np.float64)
             for codes, starts, _ in _opened(lots.column("size")[i].as_py(), lots.column("body")[i].as_py(), lengths):
-                own = logp[np.searchsorted(keys, grams(codes, starts, order))] if len(codes) else np.zeros(0)
-                value = np.append(0.0, np.cumsum(own))
+                found = logp[np.searchsorted(keys, grams(codes, starts, order))] if len(codes) else np.zeros(0)
+                value = np.append(0.0, np.cumsum(found))
                 total.append(value[starts[1:]] - value[starts[:-1]])
         return pa.table({"row": pa.concat_arrays(rows), "n_symbols": pa.array(np.concatenate(n)), "logp": pa.array(np.concatenate(total))})
 
@@ -292,8 +361,13 @@ def _answers(order: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def perplexities(lots: DataFrame, model: Model) -> DataFrame:
     """Struct ``row`` of kept columns and ``perplexity`` of each document of dealt lots."""
-    asked = lots.select(F.col("lot").alias("asking"), F.explode("keys").alias("key"))
-    known = storage.materialize(model.probabilities(storage.materialize(asked.select("key").distinct(), "kn_keys")), "kn_known")
+    n = lots.agg(F.sum("n_keys")).first()[0] or 0
+    pieces = 2 * (n // (2 * PIECE_KEYS)) + 17  # odd, as keys are powers of two apart
+    distinct = lots.select("n_keys", "keys").mapInArrow(_keys, "key long").distinct()
+    known = storage.materialize(model.probabilities(storage.materialize(distinct, "kn_keys")), "kn_known")
+    asked = lots.select("lot", "n_keys", "keys").mapInArrow(_cut(pieces), "piece long, asking long, n long, keys binary")
+    known = known.withColumn("of", F.pmod("key", F.lit(pieces)))
+    answers = asked.groupBy("piece").cogroup(known.groupBy("of")).applyInArrow(_look_up, "piece long, asking long, logp binary")
     row_type = T.StructType(
         [
             T.StructField("row", lots.schema["rows"].dataType.elementType),
@@ -301,9 +375,8 @@ def perplexities(lots: DataFrame, model: Model) -> DataFrame:
             T.StructField("logp", T.DoubleType()),
         ]
     )
-    texts = lots.select("lot", "rows", "lengths", "size", "body")
     # A lot whose texts are all empty asks for nothing and meets no answers.
-    scored = texts.groupBy("lot").cogroup(asked.join(known, "key").groupBy("asking")).applyInArrow(_answers(model.order), row_type)
+    scored = lots.groupBy("lot").cogroup(answers.groupBy("asking")).applyInArrow(_score(model.order, pieces), row_type)
     return scored.select("row", F.when(F.col("n_symbols") > 0, F.exp(-F.col("logp") / F.col("n_symbols"))).alias("perplexity"))
 
 
