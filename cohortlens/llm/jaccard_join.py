@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import storage
 from cohortlens.llm import wordarrays as wa
+from cohortlens.llm.mixing import row_hash
 
 WORDS = 5
 GROUPS = 256
@@ -516,7 +517,7 @@ def link_classes(
 
 
 def keep_one(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each class the row with the smallest doc_id (then text hash), unchanged; all rows without words."""
+    """Of each class the row with the smallest doc_id (then text hash, then row hash), unchanged; all rows without words."""
     own_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
     key = F.xxhash64(F.col(text))
     small = docs.select(own_id.alias("own_id"), key.alias("own_key"), F.col(text).alias("text"))
@@ -524,9 +525,9 @@ def keep_one(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: s
     first = F.min(F.struct("row.own_id", "row.own_key")).alias("w")
     winners = linked.filter(F.col("class").isNotNull()).groupBy("class").agg(first)
     winners = winners.select(F.col("w.own_id").alias("own_id"), F.col("w.own_key").alias("own_key")).distinct()
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), own_id.alias("own_id"), key.alias("own_key"), F.col(text).alias("text"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), own_id.alias("own_id"), key.alias("own_key"), F.col(text).alias("text"), row_hash(docs).alias("own_tie"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = rows.filter(worded).drop("text").join(winners, ["own_id", "own_key"])
-    same = Window.partitionBy("own_id", "own_key").orderBy(F.lit(1))
+    same = Window.partitionBy("own_id", "own_key").orderBy("own_tie")
     kept = kept.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
     return kept.unionByName(rows.filter(~worded).select("row.*"))

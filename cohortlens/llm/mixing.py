@@ -224,18 +224,29 @@ def mix(
     )
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, so that rows are told apart the same way in every run."""
+    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema]
+    return F.xxhash64(F.lit(0), *[F.col(f"`{name}`") for name, kind in kinds if "map<" not in kind and "variant" not in kind])
+
+
 def take_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """The mixed table: every row of ``docs`` as often as the mix takes it."""
+    """The mixed table: every row of ``docs`` as often as the mix takes it.
+
+    Rows that agree in doc_id, source and size are numbered by a hash of the whole row; rows of
+    one hash are equal, so it does not matter which is which.
+    """
     mixed = mix(docs, doc_id, text, source, seed).filter("copies > 0")
     mixed = mixed.select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copy_no").alias("_c"), "copies"
     )
-    same = Window.partitionBy("_doc", "_source", "_size").orderBy(F.lit(1))
+    same = Window.partitionBy("_doc", "_source", "_size").orderBy("_tie")
     rows = docs.select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
         F.col(doc_id).alias("_doc"),
         F.col(source).alias("_source"),
         word_count(F.col(text)).alias("_size"),
+        row_hash(docs).alias("_tie"),
     ).withColumn("_no", F.row_number().over(same))
     match = (
         F.col("_doc").eqNullSafe(F.col("_d"))

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cohortlens.llm import mixing, quality_rules, queries, sharding
+from cohortlens.llm import jaccard_join, mixing, quality_rules, queries, sharding
 from contract.check import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -123,6 +123,18 @@ def test_mix_meets_targets(edges):
         assert abs(taken[s] - want[s]) <= largest[s]
 
 
+def test_rows_of_one_id_are_chosen_alike(spark, nothing):
+    """Rows that agree in doc_id, source and size, some with equal texts: any order of arrival, one result."""
+    rows = [(i % 5, f"one two three four five six {i % 7}", "s" if i % 2 else "t", i % 11, {"m": "x"}) for i in range(120)]
+    rows += [(None, "one two three", None, 1, None), (None, "three two one", None, 2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int, extra map<string,string>")
+    shuffled = spark.createDataFrame(rows[::-1], docs.schema).repartition(7)
+    for choose in (mixing.take_copies, jaccard_join.keep_one):
+        first, second = (sorted(map(str, choose(x).collect())) for x in (docs, shuffled))
+        assert first and first == second
+    assert mixing.take_copies(nothing).count() == jaccard_join.keep_one(nothing).count() == 0
+
+
 def test_rounding_keeps_sums_and_expectations(spark):
     """Over many rows and several levels: one row of slack per source, fair shares by size."""
     items = spark.range(20_000).selectExpr(
