@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import hash_uniform
+from cohortlens.operators.neighbors import exact_neighbors, fit_forest, forest_neighbors
 
 NO_NEIGHBOURS = "Could not find nearest neighbors for computed vector!"
 
@@ -56,46 +55,14 @@ def custom_matrix(tokens: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
-
-
 def nearest_neighbors(queries: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """Exact n nearest rows of the table for every query (query, vec), equal distances by idx.
-
-    The queries are a short list given by the caller; they travel as one scalar, so
-    the table is scanned once and never joined. The row limit per query is applied
-    on every partition before rows move, so at most n rows per query and partition
-    are shuffled. For many queries use approx_nearest_neighbors.
-    """
-    listed = queries.agg(F.collect_list(F.struct("query", "vec"))).scalar()
-    scored = table.withColumn("q", F.explode(listed)).select(
-        F.col("q.query").alias("query"),
-        "idx",
-        "token",
-        distance(F.col("vec"), F.col("q.vec")).alias("distance"),
-    )
-    order = Window.partitionBy("query").orderBy("distance", "idx")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    """Exact n nearest rows of the table for every query (query, vec), equal distances by idx."""
+    return exact_neighbors(queries, table, n)
 
 
-def approx_nearest_neighbors(
-    queries: DataFrame, table: DataFrame, radius: float, bucket_length: float = 2.0, tables: int = 5, seed: int = 1
-) -> DataFrame:
-    """Pairs of (query, token) closer than a radius, found through random projections."""
-    vector = lambda df: df.withColumn("features", array_to_vector("vec"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    model = lsh.fit(vector(table))
-    found = model.approxSimilarityJoin(vector(queries), vector(table), radius, distCol="distance")
-    return found.select(
-        F.col("datasetA.query").alias("query"),
-        F.col("datasetB.idx").alias("idx"),
-        F.col("datasetB.token").alias("token"),
-        "distance",
-    )
+def approx_nearest_neighbors(queries: DataFrame, table: DataFrame, n: int, trees: int = 20, probes: int = 4, seed: int = 1) -> DataFrame:
+    """About the n nearest rows for every query, through a forest of random split planes."""
+    return forest_neighbors(queries, table, n, fit_forest(table, trees, seed=seed), probes)
 
 
 def analogy_vectors(triples: DataFrame, table: DataFrame) -> DataFrame:

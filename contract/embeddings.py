@@ -97,8 +97,41 @@ def analogy(spark, d):
     return ops.analogy(triples, vectors(spark, d))
 
 
+def _every_twentieth(spark, d):
+    found = vectors(spark, d)
+    return found, found.filter(F.col("idx") % 20 == 0).select(F.col("idx").alias("query"), "vec")
+
+
 @query("approx_nearest_neighbors")
 def approx_nearest_neighbors(spark, d):
-    table = vectors(spark, d)
-    queries = ops.lookup(table, TOKENS).select(F.col("token").alias("query"), "vec")
-    return rounded(ops.approx_nearest_neighbors(queries, table, radius=1.1), "distance")
+    """About ten nearest rows of every twentieth row; near_neighbor_recall holds them against all rows."""
+    table, queries = _every_twentieth(spark, d)
+    return rounded(ops.approx_nearest_neighbors(queries, table, 10), "distance")
+
+
+@query(
+    "many_nearest_neighbors",
+    f"""WITH {V}, s AS (SELECT q.idx AS query, v.idx, v.token, list_distance(v.vec, q.vec) AS far FROM v JOIN v q ON q.idx % 20 = 0)
+    SELECT query, idx, token, round(far, 6) AS distance, (row_number() OVER (PARTITION BY query ORDER BY far, idx))::INTEGER AS rank FROM s
+    QUALIFY rank <= 10""",
+)
+def many_nearest_neighbors(spark, d):
+    table, queries = _every_twentieth(spark, d)
+    return rounded(ops.nearest_neighbors(queries, table, 10), "distance")
+
+
+@query(
+    "near_neighbor_recall",
+    f"""WITH {V} SELECT count(*) FILTER (WHERE idx % 20 = 0) AS n_queries,
+      count(*) FILTER (WHERE idx % 20 = 0) * least(10, count(*)) AS n_exact, true AS recalled FROM v""",
+)
+def near_neighbor_recall(spark, d):
+    """Whether the forest finds at least nine tenths of the exact neighbours."""
+    table, queries = _every_twentieth(spark, d)
+    exact = ops.nearest_neighbors(queries, table, 10).select("query", "idx", F.lit(1).alias("exact"))
+    found = ops.approx_nearest_neighbors(queries, table, 10).select("query", "idx", F.lit(1).alias("found"))
+    both = exact.join(found, ["query", "idx"], "left")
+    return both.agg(
+        F.count_distinct("query").alias("n_queries"), F.sum("exact").alias("n_exact"),
+        (F.sum("found") >= 0.9 * F.sum("exact")).alias("recalled"),
+    )
