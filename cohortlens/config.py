@@ -110,6 +110,15 @@ class BoostingParams:
     balanced: bool = True
     # Spark caps nothing by leaf count: a tree of depth d has up to 2**d leaves.
     max_depth: int | None = None
+    # Of boosting.fit_boosted alone.
+    mode: str = "gbdt"
+    bagging_every: int = 0
+    l1: float = 0.0
+    l2: float = 0.0
+    max_bins: int = 255
+    drop_share: float = 0.1
+    skip_drop: float = 0.5
+    max_drop: int = 50
 
     @property
     def depth(self) -> int:
@@ -136,8 +145,8 @@ class StudyParams:
         "ps": ForestParams(trees=116, feature_share=0.114, min_leaf=5),
     })
     gbm: dict = field(default_factory=lambda: {
-        "ia": BoostingParams(iterations=150, learning_rate=0.1, row_share=0.5, min_leaf=3, leaves=50),
-        "ps": BoostingParams(iterations=172, learning_rate=0.25, row_share=0.7, min_leaf=5),
+        "ia": BoostingParams(iterations=150, learning_rate=0.1, row_share=0.5, min_leaf=3, leaves=50, mode="dart", bagging_every=5),
+        "ps": BoostingParams(iterations=172, learning_rate=0.25, row_share=0.7, min_leaf=5, bagging_every=6),
     })
     mlp: dict = field(default_factory=lambda: {
         "ia": PerceptronParams(),
