@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import clip_upper
 from cohortlens.operators.ordering import exact_quantiles
+from cohortlens.storage import small_side
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -140,11 +141,14 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def grouped_histogram(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
-    """Histogram per group, each with its own minimum and maximum; only filled bins."""
+    """Histogram per group, each with its own minimum and maximum; only filled bins.
+
+    Bounds, one row per group, are broadcast if these, counted, are few.
+    """
     rows = df.select(key, F.col(value).cast("double").alias("v")).filter(
         F.col("v").isNotNull() & F.col(key).isNotNull()
     )
-    bounds = rows.groupBy(key).agg(_bounds(F.col("v")).alias("b"))
+    bounds = small_side(rows.groupBy(key).agg(_bounds(F.col("v")).alias("b")), "bounds")
     return (
         rows.join(bounds, key)
         .groupBy(key, _bin_of(F.col("v"), F.col("b.lo"), F.col("b.hi"), bins).alias("bin"))

@@ -18,10 +18,12 @@ from cohortlens.config import METRIC_DEFINITIONS, METRICS
 from cohortlens.functions.scalar import round_metric, threshold_predict
 from cohortlens.functions.student_t import t_quantile
 from cohortlens.operators.ordering import falling_levels, running_sums, score_levels
+from cohortlens.storage import materialize, small_side
 
 RUN = ("task", "model", "run")
 MODEL = ("task", "model")
 CELLS = ("tn", "fp", "fn", "tp")
+HEAVY_TIE = 10_000  # rows of a run with one score, from which they do not join by score
 
 
 def with_threshold(preds: DataFrame, threshold: Column | float) -> DataFrame:
@@ -257,9 +259,18 @@ def average_ranks(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 
 
 def rank_rows(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """Every prediction with its average rank."""
-    ranks = average_ranks(preds, keys).select(*keys, "prob", "avg_rank")
-    return preds.join(ranks, [*keys, "prob"]).select(*keys, "row_id", "prob", "avg_rank")
+    """Every prediction with its average rank.
+
+    Scores that many rows of a run share are few: they meet their rank map-side if the
+    list of them, counted, is short. The other rows join it by score.
+    """
+    on = [*keys, "prob"]
+    ranks = materialize(average_ranks(preds, keys), "ranks")
+    tied = small_side(ranks.filter(F.col("n") >= HEAVY_TIE).select(*on, "avg_rank"), "heavy_ties")
+    alone = ranks.filter(F.col("n") < HEAVY_TIE).select(*on, "avg_rank")
+    met = preds.join(tied, on).select(*keys, "row_id", "prob", "avg_rank")
+    others = preds.join(tied.select(*on), on, "left_anti").join(alone, on)
+    return met.unionByName(others.select(*keys, "row_id", "prob", "avg_rank"))
 
 
 def curve_counts(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:

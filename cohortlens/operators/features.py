@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 
 from cohortlens.config import MAX_FEATURES, MIN_DOC_FREQUENCY
 from cohortlens.functions import text
-from cohortlens.operators.ordering import first_k, running_sums, text_levels
-from cohortlens.storage import scratch_path
+from cohortlens.operators.ordering import nth_rows, number_rows
+from cohortlens.storage import materialize, scratch_path
+
+HEAVY_TERMS = 20_000
 
 
 @dataclass(frozen=True)
@@ -48,18 +50,27 @@ def document_frequency(docs: DataFrame, min_df: int = 1) -> DataFrame:
 
 
 def top_terms(frequencies: DataFrame, k: int) -> DataFrame:
-    """The k terms in most documents, ties by term."""
-    ordered = frequencies.withColumn("rare", -F.col("df"))
-    # Few distinct counts exist; inside one count, terms are cut by their beginning.
-    levels = {"lv1": F.col("rare"), "lv2": F.substring("term", 1, 4)}
-    return first_k(ordered, levels, ["rare", "term"], k).drop("rare")
+    """The k terms in most documents, ties by term.
+
+    The count at the boundary is found from counts of counts. Only the terms that have
+    just this count are put in order, in ranges that follow the terms at hand.
+    """
+    kept = materialize(frequencies, "frequencies")
+    counts = kept.select((-F.col("df")).alias("rare"))
+    levels = {"lv1": -F.floor(F.log2(-F.col("rare"))), "lv2": F.col("rare")}
+    cut = nth_rows(counts, [], levels, ["rare"], {"k": lambda n: F.least(n, F.lit(k))}, equal=True).first()
+    if cut is None:
+        return kept.limit(0)
+    least = -cut["rare"]
+    above = kept.filter(F.col("df") > least)
+    rest = k - above.count()
+    tied = number_rows(kept.filter(F.col("df") == least), ["term"], "at")
+    return above.unionByName(tied.filter(F.col("at") < rest).drop("at"))
 
 
 def with_index(vocab: DataFrame) -> DataFrame:
     """Alphabetical column index, from zero."""
-    one = vocab.withColumn("one", F.lit(1).cast("long"))
-    ranked = running_sums(one, [], text_levels(F.col("term")), ["term"], ["one"])
-    return ranked.select(*vocab.columns, (F.col("cum_one") - 1).alias("idx"))
+    return number_rows(vocab, ["term"], "idx")
 
 
 def vocabulary(docs: DataFrame, weighting: Weighting) -> DataFrame:
@@ -97,11 +108,20 @@ def term_counts(docs: DataFrame, binary: bool) -> DataFrame:
 def weigh(docs: DataFrame, vocab: DataFrame, n_docs: Column, binary: bool) -> DataFrame:
     """(row_id, term, idx, weight): sublinear tf times smooth idf, rows of norm one.
 
-    The planner broadcasts the vocabulary or not by its size.
+    The ``HEAVY_TERMS`` terms in most documents meet their weights map-side, as a broadcast
+    of at most that many rows; the others, none of them in many rows, join by shuffle.
     """
+    vocab = materialize(vocab, "vocabulary")
+    counts = term_counts(docs, binary)
+    if vocab.limit(HEAVY_TERMS + 1).count() <= HEAVY_TERMS:
+        raw = counts.join(F.broadcast(vocab), "term")
+    else:
+        heavy = materialize(top_terms(vocab, HEAVY_TERMS), "heavy_terms")
+        names = F.broadcast(heavy.select("term"))
+        light = vocab.join(names, "term", "left_anti")
+        raw = counts.join(F.broadcast(heavy), "term").unionByName(counts.join(names, "term", "left_anti").join(light, "term"))
     weight = (1 + F.log("tf")) * idf_smooth(n_docs, F.col("df"))
-    raw = term_counts(docs, binary).join(vocab, "term").select("row_id", "term", "idx", weight.alias("weight"))
-    return l2_normalize(raw)
+    return l2_normalize(raw.select("row_id", "term", "idx", weight.alias("weight")))
 
 
 def _count(docs: DataFrame) -> Column:

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.storage import materialize
+
 # Buckets per doubling of the odds, coarse to fine.
 ODDS_STEPS = (64, 32_768)
 OUTSIDE = 1_000_000_000
@@ -152,12 +154,15 @@ def nth_rows(
     order: Sequence[str],
     ranks: dict[str, Callable[[Column], Column]],
     weight: str | None = None,
+    equal: bool = False,
 ) -> DataFrame:
     """The rows that hold given 1-based ranks: one row per key and rank name.
 
     ``ranks`` maps a name to a function of the group size. A row counts ``weight``
     times. The result has the keys, ``rank_name``, ``rank``, ``n`` and the row.
-    Only the finest bucket around each wanted rank is sorted.
+    Only the finest bucket around each wanted rank is sorted. With ``equal``, rows
+    that agree in ``order`` are one and the same: those of the wanted buckets are
+    counted map-side before they move, and the result has the ``order`` columns only.
     """
     names = list(levels)
     rows = df.withColumns(levels).withColumn("_w", F.col(weight) if weight else F.lit(1).cast("long"))
@@ -177,15 +182,39 @@ def nth_rows(
         .drop("_w")
     )
     near = _join_on(rows, F.broadcast(targets), [*keys, *names])
+    left = [c for c in df.columns if c not in keys]
+    if equal:
+        near = near.groupBy(*keys, *names, "rank_name", "rank", "n", "before__w", *order).agg(F.sum("_w").alias("_w"))
+        left = list(order)
     inside = Window.partitionBy(*keys, *names, "rank_name").orderBy(*order)
     upto = F.col("before__w") + F.sum("_w").over(inside)
     return (
         near.withColumn("_upto", upto)
         .filter((F.col("rank") > F.col("_upto") - F.col("_w")) & (F.col("rank") <= F.col("_upto")))
-        .select(*keys, "rank_name", "rank", "n", *[c for c in df.columns if c not in keys])
+        .select(*keys, "rank_name", "rank", "n", *left)
     )
 
 
+def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add the position of each row under a unique order, from zero.
+
+    Spark cuts the order into ranges at splitters it samples, so a crowd of rows with one
+    beginning is spread like any other; exact counts per range give the positions.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row per range
+    before, total = [], 0
+    for row in sizes:
+        before.append((row["_part"], total))
+        total += row["n"]
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, (F.col("_before") + inside).alias(name))
+
+
 def first_k(
     df: DataFrame, levels: dict[str, Column], order: Sequence[str], k: int
 ) -> DataFrame:
@@ -201,29 +230,24 @@ def first_k(
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles of numeric columns: (name, share, quantile).
 
-    All columns share one plan: values are counted per column, then only the value
-    buckets around the wanted ranks are sorted.
+    All columns share one plan. Rows are counted per value bucket, map-side; then only
+    the values inside the buckets around the wanted ranks are counted and sorted, so
+    next to nothing of the table is shuffled, however many distinct values it has.
     """
     entries = F.array(
         *[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]
     )
-    counts = (
-        df.select(F.explode(entries).alias("e"))
-        .select("e.*")
-        .filter(F.col("v").isNotNull())
-        .groupBy("name", "v")
-        .agg(F.count("*").alias("w"))
-    )
-    spans = counts.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = df.select(F.explode(entries).alias("e")).select("e.*").filter(F.col("v").isNotNull())
+    spans = rows.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     # One row per column name.
-    placed = counts.join(F.broadcast(spans), "name")
-    levels = span_levels(F.col("v"), F.col("lo"), F.col("hi"))
+    placed = rows.join(F.broadcast(spans), "name")
+    levels = span_levels(F.col("v"), F.col("lo"), F.col("hi"), depth=2)
     ranks: dict[str, Callable[[Column], Column]] = {}
     for i, share in enumerate(shares):
         at = lambda n, q=share: (n - 1) * F.lit(float(q))
         ranks[f"{i}:lo"] = lambda n, at=at: F.floor(at(n)) + 1
         ranks[f"{i}:hi"] = lambda n, at=at: F.least(F.floor(at(n)) + 2, n)
-    picked = nth_rows(placed, ["name"], levels, ["v"], ranks, weight="w")
+    picked = nth_rows(placed, ["name"], levels, ["v"], ranks, equal=True)
     parts = F.split("rank_name", ":")
     place = (F.col("n") - 1) * F.col("share")
     return (

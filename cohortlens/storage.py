@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,12 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once, and marked for broadcast only if its rows, now counted, are few."""
+    kept = materialize(df, name)
+    return F.broadcast(kept) if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else kept
