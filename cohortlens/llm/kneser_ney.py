@@ -43,6 +43,7 @@ LOT_ROWS = 20_000
 PIECE_KEYS = 2_000_000  # asked for by all lots in a piece, about
 QUANTILE = 0.998
 CODEC = pa.Codec("zstd", compression_level=6)
+BODY_CODEC = pa.Codec("zstd", compression_level=12)  # texts are written and moved more often than they are compressed
 
 _folded = np.full(0x110000, -1, dtype=np.int64)
 
@@ -136,7 +137,7 @@ class Lot:
             "rows": one(pa.concat_arrays(self.rows)),
             "lengths": one(pa.array(np.concatenate(self.lengths).astype(np.int64))),
             "size": pa.array([len(body)]),
-            "body": pa.array([CODEC.compress(body, asbytes=True)], type=pa.binary()),
+            "body": pa.array([BODY_CODEC.compress(body, asbytes=True)], type=pa.binary()),
             "n_keys": pa.array([len(keys)]),
             "keys": pa.array([packed(keys)], type=pa.binary()),
         }
