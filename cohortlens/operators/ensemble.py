@@ -22,10 +22,10 @@ def align_models(preds: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     )
 
 
-def _by_task(values: Mapping[str, float]) -> Column:
+def _by_task(values: Mapping[str, Column]) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("double"))
     for task, value in values.items():
-        out = out.when(F.col("task") == task, F.lit(float(value)))
+        out = out.when(F.col("task") == task, value)
     return out
 
 
@@ -35,7 +35,8 @@ def member_threshold(thresholds: Thresholds, members: Sequence[str], kind: str)
     return {task: combine([by_model[m] for m in members]) for task, by_model in thresholds.items()}
 
 
-def _variant(kind: str, members: Sequence[str], thresholds: Thresholds) -> Column:
+def _variant(kind: str, members: Sequence[str], thresholds: Thresholds) -> tuple[str, Column, dict[str, float]]:
+    """Name, score and threshold per task."""
     probs = [F.col(m) for m in members]
     if kind == "avg":
         total = probs[0]
@@ -52,14 +53,18 @@ def _variant(kind: str, members: Sequence[str], thresholds: Thresholds) -> Colum
         prob = probs[0]
     name = members[0] if kind == "single" else f"{kind}-{'-'.join(members)}"
     limit = member_threshold(thresholds, members, "max" if kind == "single" else kind)
-    return F.struct(F.lit(name).alias("model"), prob.alias("prob"), _by_task(limit).alias("threshold"))
+    return name, prob, limit
 
 
-def _explode_variants(wide: DataFrame, variants: Sequence[Column]) -> DataFrame:
+def _explode_variants(wide: DataFrame, variants: Sequence[tuple[str, Column, dict[str, float]]]) -> DataFrame:
+    """Only scores are exploded; names and thresholds are looked up by the place of the variant."""
+    names, probs, limits = zip(*variants)
+    listed = lambda values: F.array(*[F.lit(v) for v in values])[F.col("at")]
+    threshold = _by_task({task: listed([float(limit[task]) for limit in limits]) for task in limits[0]})
     return (
-        wide.select("task", "run", "row_id", "target", F.explode(F.array(*variants)).alias("v"))
-        .select("task", "v.model", "run", "row_id", "target", "v.prob", "v.threshold")
+        wide.select("task", "run", "row_id", "target", F.posexplode(F.array(*probs)).alias("at", "prob"))
         .filter(F.col("prob").isNotNull())
+        .select("task", listed(names).alias("model"), "run", "row_id", "target", "prob", threshold.alias("threshold"))
         .withColumn("pred", threshold_predict(F.col("prob"), F.col("threshold")))
     )
 

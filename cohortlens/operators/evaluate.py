@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cohortlens.config import METRIC_DEFINITIONS, METRICS
 from cohortlens.functions.scalar import round_metric, threshold_predict
 from cohortlens.functions.student_t import t_quantile
+from cohortlens.operators import areas
 from cohortlens.operators.ordering import falling_levels, running_sums, score_levels
 from cohortlens.storage import materialize, small_side
 
@@ -110,39 +111,14 @@ def run_summary(preds: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Confusion cells and exact ROC area per run, from one pass over the predictions.
 
     The area counts, for every positive, the negatives below it and half of those
-    tied with it. Pairs are counted inside the finest score buckets first, then
-    between buckets, one level at a time.
+    tied with it (see ``areas``).
     """
     keys = list(keys)
-    levels = score_levels(F.col("prob"))
-    names = list(levels)
-    cells = _cells(F.col("target"), F.col("pred"))
-    counts = (
-        preds.withColumns(levels)
-        .groupBy(*keys, *names, "prob")
-        .agg(*[F.count_if(c).alias(name) for name, c in cells.items()])
-        .withColumn("pos", F.col("tp") + F.col("fn"))
-        .withColumn("neg", F.col("tn") + F.col("fp"))
-    )
-    below = F.sum("neg").over(
-        Window.partitionBy(*keys, *names).orderBy("prob")
-    ) - F.col("neg")
-    step = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
-    sums = [F.sum(c).alias(c) for c in (*CELLS, "pos", "neg", "won")]
-    for depth in range(len(names), 0, -1):
-        step = step.groupBy(*keys, *names[:depth]).agg(*sums)
-        earlier = F.sum("neg").over(
-            Window.partitionBy(*keys, *names[: depth - 1]).orderBy(names[depth - 1])
-        ) - F.col("neg")
-        step = step.withColumn("won", F.col("won") + F.col("pos").cast("double") * earlier)
-    return (
-        step.groupBy(*keys)
-        .agg(*sums)
-        .select(
-            *keys,
-            *CELLS,
-            F.try_divide(F.col("won"), F.col("pos").cast("double") * F.col("neg")).alias("auroc"),
-        )
+    pairs = areas.cells_and_pairs(preds, keys, _cells(F.col("target"), F.col("pred")))
+    return pairs.select(
+        *keys,
+        *CELLS,
+        F.try_divide(F.col("won"), F.col("pos").cast("double") * F.col("neg")).alias("auroc"),
     )
 
 
