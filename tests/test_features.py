@@ -92,3 +92,12 @@ def test_markers(spark):
     cloud = {(r["side"], r["term"]): r["weight"] for r in markers.term_cloud_weights(scores, ["abdomen"], 2).collect()}
     assert cloud[("pos", "breathing")] == 0.75 and cloud[("neg", "shortness")] == 3.0
     assert "which" in markers.default_stop_words()
+
+
+def test_tasks_for_counting_terms_grow_with_the_terms(spark, monkeypatch):
+    monkeypatch.setattr(features, "TERMS_PER_TASK", 100)
+    docs = spark.range(40).selectExpr("id row_id", "split(repeat('a b c ', 5), ' ') terms")
+    counts = features.term_counts(docs, binary=False)
+    assert counts.rdd.getNumPartitions() == 1 + 40 * 16 // 100
+    assert counts.filter("term = 'a' and tf = 5").count() == 40
+    assert features.term_counts(docs.limit(0), binary=True).count() == 0
